@@ -35,7 +35,7 @@ PLAIN_SPLIT = rf" ?[{PLAIN_LETTER}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{PLAIN
 #: The vocabulary is broadcast; a file of more bytes is refused.
 VOCABULARY_BYTES = 64 << 20
 #: Words remembered by a worker, which forgets all of them when there are more. Bears on speed only.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: A text of more characters is cut into words lazily, a run of words at a time.
 LONG_TEXT, RUN = 2_000_000, 200_000
 
@@ -137,7 +137,7 @@ class Encoder:
                 limit, left = left, self.halves[left][1]
             else:
                 limit, right = right + 1, self.halves[right][0]
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > REMEMBERED:
             self.fits.clear()
         self.fits[a, b] = good
         return good

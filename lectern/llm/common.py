@@ -60,7 +60,7 @@ def plain_lower(text: str) -> str:
 _LOWERING = str.maketrans(UPPER, LOWER)
 
 
-def slices(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with at most ``most`` characters in all, or one longer text each."""
     start = held = 0
     for i, text in enumerate(texts):
