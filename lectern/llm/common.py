@@ -71,3 +71,14 @@ def slices(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
         held += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once for each row, here.
+
+    As the output of a generator that makes one row from each, they are neither merged into expressions
+    above, which would evaluate them anew for every use, inside lambdas for every element, nor copied
+    into filters that the optimizer moves below.
+    """
+    row = F.struct(*(column.alias(name) for name, column in columns.items()))
+    return df.select("*", F.inline(F.array(row)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, sharding, tokencount
+from lectern.llm import bpe, decontamination, licenses, quality, sharding, tokencount
 from lectern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    found = licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = lambda x: F.array_join(x, ",").alias(x)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", named("base_labels"), named("labels"), "score")
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard among 40 and slot, under the law of equal row counts."""
     rows = sharding.document_keys(table(spark, sf_dir, "documents"))
@@ -34,15 +41,40 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the base rules and the learned list."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix sums over the histogram of all documents' encoded lengths."""
     length = tokencount.length_of(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return tokencount.suffix_sums(tokencount.histogram(table(spark, sf_dir, "documents"), length("text")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in benchmark windows of ten words."""
+    found = decontamination.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    lengths = F.transform("spans", lambda x: (x["end"] - x["start"]).cast("bigint"))
+    n_hit = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op2_licenses": op2_licenses,
     "op4_shards": op4_shards,
+    "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
+    "op8_decontamination": op8_decontamination,
 }
 ORACLES: dict[str, str] = {}
