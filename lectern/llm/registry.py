@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, licenses, quality, sharding, tokencount
+from lectern.llm import bpe, decontamination, licenses, neardup, quality, sharding, tokencount, toxicity
 from lectern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,20 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", named("base_labels"), named("labels"), "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labels of documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, model)
+    return found.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        F.size("offending").cast("bigint").alias("n_offending"),
+    )
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard among 40 and slot, under the law of equal row counts."""
     rows = sharding.document_keys(table(spark, sf_dir, "documents"))
@@ -54,6 +68,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.suffix_sums(tokencount.histogram(table(spark, sf_dir, "documents"), length("text")))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates."""
+    return neardup.grouped(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in benchmark windows of ten words."""
     found = decontamination.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -72,9 +91,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
+    "op3_toxicity": op3_toxicity,
     "op4_shards": op4_shards,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_decontamination": op8_decontamination,
 }
 ORACLES: dict[str, str] = {}
