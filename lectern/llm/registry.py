@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, licenses, neardup, quality, sharding, tokencount, toxicity
-from lectern.llm.common import table
+from lectern.llm import bpe, decontamination, html, licenses, neardup, quality, sharding, tokencount, toxicity, urls
+from lectern.llm.common import settle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,7 +65,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix sums over the histogram of all documents' encoded lengths."""
     length = tokencount.length_of(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return tokencount.suffix_sums(tokencount.histogram(table(spark, sf_dir, "documents"), length("text")))
+    hist = settle(tokencount.histogram(table(spark, sf_dir, "documents"), length("text")), "lengths")
+    return tokencount.suffix_sums(hist)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,24 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = html.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+#: Verdict and host/path of the rules of op10.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: by rule, else by its path template's purity."""
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), good.alias("good"))
+    found = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
@@ -97,5 +116,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_counts": op6_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_decontamination": op8_decontamination,
+    "op9_main_text": op9_main_text,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {}
