@@ -16,7 +16,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-@query("SELECT event_id, 'b' || user_id AS slug, (event_id % 9)::INT AS chapter, (event_id % 70) + 0.5::DOUBLE AS "at" FROM events WHERE event_id % 5 > 2")
+@query('SELECT event_id, concat(\'b\', user_id) AS slug, (event_id % 9)::INT AS chapter, (event_id % 70) + 0.5::DOUBLE AS "at" FROM events WHERE event_id % 5 > 2')
 def resume_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events(spark, sf_dir).select("event_id", P.parse_resume(F.expr(JSON)).alias("r")).where("r IS NOT NULL")
     return found.select("event_id", "r.slug", F.col("r.chapterIndex").alias("chapter"), F.col("r.currentTime").alias("at"))
@@ -24,7 +24,7 @@ def resume_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH b AS (SELECT 's' || user_id AS slug, count(*) % 7 + 1 AS n FROM events WHERE user_id % 4 > 0 GROUP BY user_id), r AS (SELECT event_id AS user_id, 's' || user_id AS slug, event_id % 9 - 1 AS chapter, value - 5 AS sec FROM events) "
-    "SELECT user_id, coalesce(b.slug, (SELECT min(slug) FROM b)) AS slug, CASE WHEN n IS NOT NULL AND chapter < n AND chapter >= 0 THEN chapter ELSE 0 END AS chapter, CASE WHEN n IS NOT NULL AND (CASE WHEN chapter < n AND chapter >= 0 THEN chapter ELSE 0 END) = chapter AND sec >= 0 THEN sec ELSE 0.0 END AS "at" FROM r LEFT JOIN b USING (slug)"
+    "SELECT user_id, coalesce(b.slug, (SELECT min(slug) FROM b)) AS slug, CASE WHEN n IS NOT NULL AND chapter < n AND chapter >= 0 THEN chapter ELSE 0 END AS chapter, CASE WHEN n IS NOT NULL AND (CASE WHEN chapter < n AND chapter >= 0 THEN chapter ELSE 0 END) = chapter AND sec >= 0 THEN sec ELSE 0.0 END AS \"at\" FROM r LEFT JOIN b USING (slug)"
 )
 def resume_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     slug = F.concat(F.lit("s"), F.col("user_id").cast("string"))

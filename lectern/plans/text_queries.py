@@ -57,26 +57,24 @@ def sql_file_title(x: str) -> str:
     return f"coalesce(nullif({sql_strip(f'''translate({number}, '_-', '  ')''')}, ''), {x})"
 
 
-content, title, filename = F.col("content"), F.col("title"), F.col("filename")
-
-_scalar("clean_text", lambda: T.clean_text(content), sql_clean("content"))
+_scalar("clean_text", lambda: T.clean_text(F.col("content")), sql_clean("content"))
 _scalar(
     "md_clean_text",
-    lambda: T.md_clean_text(F.concat(F.lit("a\r\nb \t c\n\n\n\n&nbsp;<b>"), content, F.lit("</b> &nbsp; "))),
+    lambda: T.md_clean_text(F.concat(F.lit("a\r\nb \t c\n\n\n\n&nbsp;<b>"), F.col("content"), F.lit("</b> &nbsp; "))),
     sql_strip(sql_replace("replace(" + sql_replace(sql_replace("replace(concat('a' || chr(13) || chr(10) || 'b ' || chr(9) || ' c' || repeat(chr(10), 4) || '&nbsp;<b>', content, '</b> &nbsp; '), chr(13) || chr(10), chr(10))", "[ \t]+", " "), "\n{3,}", "\n\n") + ", '&nbsp;', ' ')", "<[^>]+>", "")),
 )
-_scalar("strip_page_numbers", lambda: T.strip_page_numbers(content), sql_replace("content", rf"(?i)\b(strona|page){WS}+[0-9]+\b", ""))
-_scalar("strip_footnotes", lambda: T.strip_footnotes(content), sql_replace("content", rf"{WS}*\[[0-9]+\]{WS}*", " "))
+_scalar("strip_page_numbers", lambda: T.strip_page_numbers(F.col("content")), sql_replace("content", rf"(?i)\b(strona|page){WS}+[0-9]+\b", ""))
+_scalar("strip_footnotes", lambda: T.strip_footnotes(F.col("content")), sql_replace("content", rf"{WS}*\[[0-9]+\]{WS}*", " "))
 _scalar(
     "orphan_punct",
-    lambda: T.orphan_punct(F.concat(content, F.lit(' "x" . Y. . Z'))),
+    lambda: T.orphan_punct(F.concat(F.col("content"), F.lit(' "x" . Y. . Z'))),
     sql_replace(sql_replace("concat(content, ' \"x\" . Y. . Z')", rf'(["”“]){WS}+\.', "\\1."), rf"\.{WS}+\.", "."),
 )
-_scalar("numbers_to_ordinals", lambda: T.numbers_to_ordinals(content), sql_ordinals(sql_ordinals("content", MASCULINE, "m"), FEMININE, "f"))
-_scalar("annotate_quotes", lambda: T.annotate_quotes(content), sql_quotes("content"))
+_scalar("numbers_to_ordinals", lambda: T.numbers_to_ordinals(F.col("content")), sql_ordinals(sql_ordinals("content", MASCULINE, "m"), FEMININE, "f"))
+_scalar("annotate_quotes", lambda: T.annotate_quotes(F.col("content")), sql_quotes("content"))
 _scalar(
     "chapter_markers",
-    lambda: T.chapter_markers(content),
+    lambda: T.chapter_markers(F.col("content")),
     sql_replace("content", rf"(?i)((?:rozdział|rozdzial|chapter|część|czesc|part){WS}+[\dIVXLCivxlc]+[ \t]*)", f"\\1 {HEADING_PAUSE}"),
 )
 _scalar(
@@ -84,24 +82,24 @@ _scalar(
     lambda: T.ensure_terminal_punct(F.substring(F.col("text"), 1, 60)),
     "CASE WHEN v = '' OR regexp_matches(v, '[.!?…]$') THEN v ELSE v || '.' END".replace("v", f"({sql_replace('substr(text, 1, 60)', f'{WS}+$', '')})"),
 )
-_scalar("word_count", lambda: T.word_count(content).cast("bigint"), sql_words("content") + "::BIGINT")
-_scalar("digit_ratio", lambda: F.round(T.digit_ratio(F.concat(content, F.repeat(F.lit("7"), F.col("doc_id").cast("int") % 50))), 9), f"round({sql_digits('''concat(content, repeat('7', (doc_id % 50)::INT))''')}, 9)")
-_scalar("sanitize_filename", lambda: N.sanitize_filename(F.concat(title, F.lit(' a/b\\c:"d" '), content)), "substr(" + sql_replace(sql_replace("concat(title, ' a/b\\c:\"d\" ', content)", '[<>:"/\\\\|?*]', ""), f"{WS}+", "_") + ", 1, 50)")
-_scalar("title_from_filename", lambda: N.title_from_filename(filename), sql_file_title("filename"))
+_scalar("word_count", lambda: T.word_count(F.col("content")).cast("bigint"), sql_words("content") + "::BIGINT")
+_scalar("digit_ratio", lambda: F.round(T.digit_ratio(F.concat(F.col("content"), F.repeat(F.lit("7"), F.col("doc_id").cast("int") % 50))), 9), f"round({sql_digits('''concat(content, repeat('7', (doc_id % 50)::INT))''')}, 9)")
+_scalar("sanitize_filename", lambda: N.sanitize_filename(F.concat(F.col("title"), F.lit(' a/b\\c:"d" '), F.col("content"))), "substr(" + sql_replace(sql_replace("concat(title, ' a/b\\c:\"d\" ', content)", '[<>:"/\\\\|?*]', ""), f"{WS}+", "_") + ", 1, 50)")
+_scalar("title_from_filename", lambda: N.title_from_filename(F.col("filename")), sql_file_title("filename"))
 _scalar(
     "md_title",
-    lambda: N.md_title(F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("# ")).otherwise(F.lit("")), title, F.lit("\n"), content), filename),
+    lambda: N.md_title(F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("# ")).otherwise(F.lit("")), F.col("title"), F.lit("\n"), F.col("content")), F.col("filename")),
     f"CASE WHEN doc_id % 2 = 0 THEN {sql_strip('title')} ELSE {sql_file_title('filename')} END",
 )
-_scalar("camel_ascii", lambda: N.camel_ascii(F.concat(title, F.lit(" łódź straße "), F.substring(content, 1, 80))), sql_camel("concat(title, ' łódź straße ', substr(content, 1, 80))"))
+_scalar("camel_ascii", lambda: N.camel_ascii(F.concat(F.col("title"), F.lit(" łódź straße "), F.substring(F.col("content"), 1, 80))), sql_camel("concat(title, ' łódź straße ', substr(content, 1, 80))"))
 _scalar(
     "mp3_filename",
-    lambda: N.mp3_filename(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 12), F.col("pos"), F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.lit("Noc nad Wisłą")), title, F.lit("Stanisław Żak"), F.lit("mp3")),
+    lambda: N.mp3_filename(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 12), F.col("pos"), F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.lit("Noc nad Wisłą")), F.col("title"), F.lit("Stanisław Żak"), F.lit("mp3")),
     f"concat_ws('_', CASE WHEN doc_id % 3 > 0 THEN 'T' || (doc_id % 12) END, 'R' || pos, CASE WHEN doc_id % 4 <> 0 THEN 'NocNadWisla' END, {sql_camel('title')}, 'StanislawZak') || '.mp3'",
 )
-_scalar("fallback_filename", lambda: N.fallback_filename(F.col("pos") % 150, title, F.lit("wav")), "CASE WHEN pos % 150 < 10 THEN '0' ELSE '' END || (pos % 150) || '_' || title || '.wav'")
-_scalar("output_dir", lambda: N.output_dir(F.concat(F.lit("/books/x.y/"), filename)), "regexp_replace(filename, '\\.[^.]*$', '') || '_audio'")
-_scalar("concat_list_escape", lambda: N.concat_list_escape(F.concat(F.lit("d'"), filename, F.lit("'"))), "replace(concat('d''', filename, ''''), '''', '''\\''''')")
+_scalar("fallback_filename", lambda: N.fallback_filename(F.col("pos") % 150, F.col("title"), F.lit("wav")), "CASE WHEN pos % 150 < 10 THEN '0' ELSE '' END || (pos % 150) || '_' || title || '.wav'")
+_scalar("output_dir", lambda: N.output_dir(F.concat(F.lit("/books/x.y/"), F.col("filename"))), "regexp_replace(filename, '\\.[^.]*$', '') || '_audio'")
+_scalar("concat_list_escape", lambda: N.concat_list_escape(F.concat(F.lit("d'"), F.col("filename"), F.lit("'"))), "replace(concat('d''', filename, ''''), '''', '''\\''''')")
 _scalar(
     "roman_to_int",
     lambda: N.roman_to_int(F.element_at(F.array(*map(F.lit, [*N.ROMAN, "XI", "7"])), (F.col("doc_id") % 12 + 1).cast("int"))),
