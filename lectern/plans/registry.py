@@ -26,4 +26,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
-from lectern.plans import catalogue_queries, chapter_queries, generation_queries, playback_queries, text_queries  # noqa: E402, F401
+from lectern.plans import catalogue_queries, chapter_queries, generation_queries, playback_queries, source_queries, text_queries  # noqa: E402, F401
