@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices
+from lectern.llm.common import slices, small_batches
 
 #: How the byte-level splitter cuts a text before the merges.
 SPLIT = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,7 +35,7 @@ PLAIN_SPLIT = rf" ?[{PLAIN_LETTER}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{PLAIN
 #: The vocabulary is broadcast; a file of more bytes is refused.
 VOCABULARY_BYTES = 64 << 20
 #: Words remembered by a worker, which forgets all of them when there are more. Bears on speed only.
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 #: A text of more characters is cut into words lazily, a run of words at a time.
 LONG_TEXT, RUN = 2_000_000, 200_000
 
@@ -250,6 +250,7 @@ def codec(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], C
     ``decode(ids)``: the text of the ids, special tokens included; bytes that are no UTF-8 become
     U+FFFD; null: empty; an id that the vocabulary lacks: nothing.
     """
+    small_batches(spark)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
 
     @F.arrow_udf("array<int>")

@@ -1,4 +1,7 @@
-"""What several operators of this package share: tables, scratch tables, words, row slices."""
+"""What several operators of this package share: tables, scratch tables, words, row slices.
+
+Column names that begin with two underscores are reserved for the operators; any other may be in an input.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words: every ASCII character that is no digit and no small letter (after lower-casing A-Z).
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Rows of one Arrow batch.
+BATCH_ROWS = 500
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -41,6 +46,16 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of at most BATCH_ROWS rows, unless the session says otherwise than the default.
+
+    Rows are whole texts here, some very long; ten thousand of them at once would fill a worker's memory.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased as far as ASCII words can tell.
 
@@ -54,10 +69,7 @@ def ascii_lower(text: Column) -> Column:
 
 def plain_lower(text: str) -> str:
     """A-Z to a-z, everything else as it is."""
-    return text.lower() if text.isascii() else text.translate(_LOWERING)
-
-
-_LOWERING = str.maketrans(UPPER, LOWER)
+    return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
 def slices(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:

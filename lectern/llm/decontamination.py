@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, plain_lower, slices
+from lectern.llm.common import WORD, plain_lower, slices, small_batches
 
 #: Words of an item's window: shared runs that count.
 WINDOW = 10
@@ -32,7 +32,7 @@ KEPT = WINDOW - GRAM + 1
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 16 << 20
 #: Words whose hash a worker remembers. Bears on speed only.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _U = np.uint64
 _words = re.compile(WORD)
@@ -199,6 +199,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
     Existing columns of these names are replaced. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
     n_blocks = -(-size // block_bytes) or 1
@@ -207,10 +208,10 @@ def scanned(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
         rows = sorted(tuple(r) for r in part.distinct().collect())
         digest = xxhash.xxh3_128_hexdigest(repr(rows))
-        df = df.withColumn(f"_hits{k}", _scan(spark.sparkContext.broadcast((digest, rows)), F.col("text")))
-    hits = [F.col(f"_hits{k}") for k in range(n_blocks)]
+        df = df.withColumn(f"__hits{k}", _scan(spark.sparkContext.broadcast((digest, rows)), F.col("text")))
+    hits = [F.col(f"__hits{k}") for k in range(n_blocks)]
     if n_blocks == 1:
-        out = df.select(*docs.drop("n_words", "spans", "items").columns, "_hits0.*")
+        out = df.select(*docs.drop("n_words", "spans", "items").columns, "__hits0.*")
         return out
     union = F.concat(*(h["spans"] for h in hits))
 

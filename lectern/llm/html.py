@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.common import settle, small_batches
 from lectern.llm.urls import parts
 
 #: Pages of a host that its wrapper is inferred from, at most, and that it needs at least.
 PAGES, LEAST = 6, 3
+#: Bytes of wrappers' texts up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -221,6 +224,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def extracted(pages: DataFrame) -> DataFrame:
     """``pages`` with text: the main text, empty if there is none (also for null html); other columns stay."""
 
+    small_batches(pages.sparkSession)
+
     @F.arrow_udf("string")
     def text_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known: dict[str, set[tuple[str, str]]] = {}
@@ -237,5 +242,8 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     names = pages.drop("text").columns
     host, _ = parts(F.col("url"))
-    of = wrappers(pages).select(F.col("host").alias("_host"), "literals").where("literals <> '[]'")
-    return pages.withColumn("_host", host).join(of, "_host", "left").select(*names, text_of("html", "literals").alias("text"))
+    of = settle(wrappers(pages), "wrappers").select(F.col("host").alias("__host"), F.col("literals").alias("__literals")).where("__literals <> '[]'")
+    size = of.agg(F.coalesce(F.sum(F.octet_length("__literals") + F.octet_length("__host") + 32), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        of = F.broadcast(of)  # else the pages are dealt by host, and adaptive execution splits hosts of very many pages
+    return pages.withColumn("__host", host).join(of, "__host", "left").select(*names, text_of("html", "__literals").alias("text"))

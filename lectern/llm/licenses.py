@@ -89,24 +89,24 @@ def scanned(docs: DataFrame, least: float = 0.75) -> DataFrame:
     lists = F.array(*(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("pos")) for t, i in postings[w])) for w in words))
 
     own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
-    df = pinned(docs.drop(*own), _norm=normal(F.col("text")))
-    df = pinned(df, _words=F.when(F.col("_norm") == "", F.array().cast("array<string>")).otherwise(F.split("_norm", " ")))
+    df = pinned(docs.drop(*own), __norm=normal(F.col("text")))
+    df = pinned(df, __words=F.when(F.col("__norm") == "", F.array().cast("array<string>")).otherwise(F.split("__norm", " ")))
 
     phrase = "(?<![^ ])(" + "|".join(PHRASES) + ")(?![^ ])"
-    maybe = F.col("_norm").contains("license") | F.col("_norm").contains("cc by")
-    df = pinned(df, _found=F.when(maybe, F.regexp_extract_all("_norm", F.lit(phrase), F.lit(1))).otherwise(F.array().cast("array<string>")))
-    hit = F.size("_found") > 0
+    maybe = F.col("__norm").contains("license") | F.col("__norm").contains("cc by")
+    df = pinned(df, __found=F.when(maybe, F.regexp_extract_all("__norm", F.lit(phrase), F.lit(1))).otherwise(F.array().cast("array<string>")))
+    hit = F.size("__found") > 0
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    df = df.withColumn("_before", F.when(hit, F.split("_norm", phrase, 2)[0])).withColumn("_until", F.when(hit, F.regexp_extract("_norm", "(?s)^(.*)" + phrase, 1)))
+    df = df.withColumn("__before", F.when(hit, F.split("__norm", phrase, 2)[0])).withColumn("__until", F.when(hit, F.regexp_extract("__norm", "(?s)^(.*)" + phrase, 1)))
 
-    places = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(indexed, x["w"]))
-    df = pinned(df, _hits=F.when(F.arrays_overlap("_words", indexed), places).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
+    places = F.filter(F.transform("__words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(indexed, x["w"]))
+    df = pinned(df, __hits=F.when(F.arrays_overlap("__words", indexed), places).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
     shift, unit = 1 << 20, 1 << 33
     proposed = F.flatten(
-        F.transform("_hits", lambda x: F.transform(F.get(lists, (F.array_position(indexed, x["w"]) - 1).cast("int")), lambda p: p["t"].cast("bigint") * unit + x["i"] - p["pos"] + shift))
+        F.transform("__hits", lambda x: F.transform(F.get(lists, (F.array_position(indexed, x["w"]) - 1).cast("int")), lambda p: p["t"].cast("bigint") * unit + x["i"] - p["pos"] + shift))
     )
-    df = pinned(df, _places=F.array_distinct(proposed))
-    word = lambda offset, p: F.coalesce(F.get(F.col("_words"), offset + p["pos"]) == p["word"], F.lit(False))
+    df = pinned(df, __places=F.array_distinct(proposed))
+    word = lambda offset, p: F.coalesce(F.get(F.col("__words"), offset + p["pos"]) == p["word"], F.lit(False))
 
     def tried(c: Column) -> Column:
         offset = (F.pmod(c, F.lit(unit)) - shift).cast("int")
@@ -114,19 +114,19 @@ def scanned(docs: DataFrame, least: float = 0.75) -> DataFrame:
         share = F.size(F.filter(template["rare"], lambda p: word(offset, p))) / F.size(template["rare"])
         return F.struct(template["label"].alias("label"), offset.alias("first"), share.alias("share"), F.forall(template["key"], lambda p: word(offset, p)).alias("key"))
 
-    df = pinned(df, _tried=F.transform("_places", tried))
-    good = F.filter("_tried", lambda x: x["key"] & (x["share"] >= least))
+    df = pinned(df, __tried=F.transform("__places", tried))
+    good = F.filter("__tried", lambda x: x["key"] & (x["share"] >= least))
     df = pinned(df, spans=F.transform(good, lambda x: F.struct(x["label"].alias("label"), x["first"].alias("first"), x["share"].alias("share"))))
-    base = F.filter(F.array(*(F.when(F.array_contains("_found", p), F.lit(label)) for p, label in PHRASES.items())), lambda x: x.isNotNull())
+    base = F.filter(F.array(*(F.when(F.array_contains("__found", p), F.lit(label)) for p, label in PHRASES.items())), lambda x: x.isNotNull())
     df = df.withColumns(
         {
-            "n_words": F.size("_words").cast("bigint"),
-            "n_base": F.size("_found").cast("bigint"),
-            "first_word": spaces(F.col("_before")).cast("bigint"),
-            "last_word": spaces(F.col("_until")).cast("bigint"),
+            "n_words": F.size("__words").cast("bigint"),
+            "n_base": F.size("__found").cast("bigint"),
+            "first_word": spaces(F.col("__before")).cast("bigint"),
+            "last_word": spaces(F.col("__until")).cast("bigint"),
             "base_labels": F.sort_array(base),
         }
     )
     df = df.withColumn("labels", F.sort_array(F.array_distinct(F.concat("base_labels", F.transform("spans", lambda x: x["label"])))))
-    df = df.withColumn("score", F.coalesce(F.array_max(F.transform("_tried", lambda x: x["share"])), F.lit(0.0)))
-    return df.drop("_norm", "_words", "_found", "_before", "_until", "_hits", "_places", "_tried")
+    df = df.withColumn("score", F.coalesce(F.array_max(F.transform("__tried", lambda x: x["share"])), F.lit(0.0)))
+    return df.drop("__norm", "__words", "__found", "__before", "__until", "__hits", "__places", "__tried")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from lectern.llm.common import WORD, ascii_lower, settle, slices
+from lectern.llm.common import WORD, ascii_lower, settle, slices, small_batches
 from lectern.llm.decontamination import grams, word_hashes, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -173,6 +173,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Equal texts have equal keys, so copies cost nothing here. Texts without words have no row.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("key"), F.col(text).alias("text"))
     nodes = keyed.select("key", signed("text").alias("s")).where("s is not null").groupBy("key").agg(F.first("s").alias("s"))
     nodes = settle(nodes.select("key", F.monotonically_increasing_id().alias("id"), "s.bands", "s.signature"), "nodes")
@@ -237,12 +238,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     empty) is in no class: class_key is null and class_id its own doc_id. A class without any doc_id has a null class_id.
     """
     found = settle(classes(docs), "classes")
-    keyed = docs.drop("class_id", "class_key").withColumn("_key", F.md5(F.col("text").cast("binary")))
-    least = keyed.select("_key", "doc_id").groupBy("_key").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("key", "_key"), "_key")
+    keyed = docs.drop("class_id", "class_key").withColumn("__key", F.md5(F.col("text").cast("binary")))
+    least = keyed.select("__key", "doc_id").groupBy("__key").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("key", "__key"), "__key")
     named = least.groupBy("root_key").agg(F.min("least").alias("class_id"))
-    of = settle(found.join(named, "root_key").select(F.col("key").alias("_key"), "class_id", F.col("root_key").alias("class_key")), "named")
-    out = keyed.join(of, "_key", "left").withColumn("class_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
-    return out.drop("_key")
+    of = settle(found.join(named, "root_key").select(F.col("key").alias("__key"), "class_id", F.col("root_key").alias("class_key")), "named")
+    out = keyed.join(of, "__key", "left").withColumn("class_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
+    return out.drop("__key")
 
 
 def unique(docs: DataFrame) -> DataFrame:
@@ -252,9 +253,9 @@ def unique(docs: DataFrame) -> DataFrame:
     """
     found = settle(classes(docs), "classes")
     has_words = F.coalesce(ascii_lower(F.col("text")).rlike(WORD), F.lit(False))
-    keyed = docs.withColumn("_key", F.md5(F.col("text").cast("binary")))
-    least = keyed.groupBy("_key").agg(F.min(F.struct("doc_id")).alias("x"))
-    winners = least.join(found, F.col("_key") == F.col("key")).groupBy("root_key").agg(F.min(F.struct("x.doc_id", "key")).alias("w"))
-    chosen = settle(winners.select(F.col("w.key").alias("_k"), F.col("w.doc_id").alias("_d")), "chosen")
-    kept = keyed.where(has_words).join(chosen, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["_key", "doc_id"]).drop("_key").unionByName(docs.where(~has_words))
+    keyed = docs.withColumn("__key", F.md5(F.col("text").cast("binary")))
+    least = keyed.groupBy("__key").agg(F.min(F.struct("doc_id")).alias("x"))
+    winners = least.join(found, F.col("__key") == F.col("key")).groupBy("root_key").agg(F.min(F.struct("x.doc_id", "key")).alias("w"))
+    chosen = settle(winners.select(F.col("w.key").alias("__k"), F.col("w.doc_id").alias("__d")), "chosen")
+    kept = keyed.where(has_words).join(chosen, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    return kept.dropDuplicates(["__key", "doc_id"]).drop("__key").unionByName(docs.where(~has_words))

@@ -34,30 +34,30 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES]
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = pinned(docs.drop(*own), _words=F.array_remove(F.split(text, SPACE), ""), _lines=lines)
-    window = F.transform(F.sequence(F.lit(0), F.size("_words") - 5), lambda i: F.xxhash64(*(F.get(F.col("_words"), i + k) for k in range(5))))
-    df = pinned(df, _hashes=F.when(F.size("_words") >= 5, window).otherwise(F.array().cast("array<bigint>")))
-    placed = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = pinned(docs.drop(*own), __words=F.array_remove(F.split(text, SPACE), ""), __lines=lines)
+    window = F.transform(F.sequence(F.lit(0), F.size("__words") - 5), lambda i: F.xxhash64(*(F.get(F.col("__words"), i + k) for k in range(5))))
+    df = pinned(df, __hashes=F.when(F.size("__words") >= 5, window).otherwise(F.array().cast("array<bigint>")))
+    placed = F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    df = pinned(df, _placed=F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed).otherwise(none))
-    same = lambda x, i, k: F.coalesce(F.get(F.col("_placed"), i + k)["h"] == x["h"], F.lit(False))
-    found = F.filter("_placed", lambda x, i: same(x, i, -1) | same(x, i, 1))
-    df = pinned(df, _starts=F.sort_array(F.transform(found, lambda x: x["i"])))
-    covers = F.transform("_starts", lambda x, i: F.coalesce(F.least(F.lit(5), F.get(F.col("_starts"), i + 1) - x), F.lit(5)))
+    df = pinned(df, __placed=F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), placed).otherwise(none))
+    same = lambda x, i, k: F.coalesce(F.get(F.col("__placed"), i + k)["h"] == x["h"], F.lit(False))
+    found = F.filter("__placed", lambda x, i: same(x, i, -1) | same(x, i, 1))
+    df = pinned(df, __starts=F.sort_array(F.transform(found, lambda x: x["i"])))
+    covers = F.transform("__starts", lambda x, i: F.coalesce(F.least(F.lit(5), F.get(F.col("__starts"), i + 1) - x), F.lit(5)))
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
     df = pinned(
         df,
         **{
-            "n_words": F.size("_words").cast("bigint"),
+            "n_words": F.size("__words").cast("bigint"),
             "word_chars": left(SPACE).cast("bigint"),
             "n_symbols": (F.length(text) - left(SYMBOLS)).cast("bigint"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
+            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
             "n_repeat_words": F.aggregate(covers, F.lit(0).cast("bigint"), lambda a, x: a + x),
-            "_upper": left(r"[^\p{Lu}]+"),
-            "_marks": left(r"[^!?]+"),
-            "_digits": left(r"[^0-9]+"),
-            "_distinct": F.size(F.array_distinct("_words")),
-            "_n_lines": F.size("_lines"),
+            "__upper": left(r"[^\p{Lu}]+"),
+            "__marks": left(r"[^!?]+"),
+            "__digits": left(r"[^0-9]+"),
+            "__distinct": F.size(F.array_distinct("__words")),
+            "__n_lines": F.size("__lines"),
         },
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
@@ -65,15 +65,15 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         {
             "mean_word": share("word_chars", "n_words"),
             "symbol_share": share("n_symbols", "word_chars"),
-            "dup_line_share": share("n_dup_lines", "_n_lines"),
+            "dup_line_share": share("n_dup_lines", "__n_lines"),
             "repeat_share": share("n_repeat_words", "n_words"),
-            "upper_share": share("_upper", "word_chars"),
-            "mark_share": share("_marks", "word_chars"),
-            "digit_share": share("_digits", "word_chars"),
-            "distinct_share": share("_distinct", "n_words"),
-            "line_words": share("n_words", "_n_lines"),
+            "upper_share": share("__upper", "word_chars"),
+            "mark_share": share("__marks", "word_chars"),
+            "digit_share": share("__digits", "word_chars"),
+            "distinct_share": share("__distinct", "n_words"),
+            "line_words": share("n_words", "__n_lines"),
         }
-    ).drop("_words", "_lines", "_hashes", "_placed", "_starts", "_upper", "_marks", "_digits", "_distinct", "_n_lines")
+    ).drop("__words", "__lines", "__hashes", "__placed", "__starts", "__upper", "__marks", "__digits", "__distinct", "__n_lines")
 
 
 def base_failed() -> Column:

@@ -65,7 +65,7 @@ def numbered(df: DataFrame, keys: list[str], number: str) -> tuple[DataFrame, in
     interchangeable, so the salt changes nothing in the result. Each partition is counted, and the counts,
     one for each partition, give the offsets; no row passes through a single task.
     """
-    salt, part, local = "_salt", "_part", "_local"
+    salt, part, local = "__salt", "__part", "__local"
     spread = df.withColumn(salt, F.xxhash64(F.monotonically_increasing_id()))
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*keys, salt]
@@ -91,8 +91,8 @@ def sharded(df: DataFrame, shards: int, keys: list[str], seed: int = 0) -> DataF
     if shards < 1:
         raise ValueError("shards must be positive")
     rows, n = numbered(df.drop("row_number", "shard", "slot"), keys, "row_number")
-    at = rows.withColumn("_place", place(F.col("row_number"), n, seed))
-    return at.withColumn("shard", F.pmod("_place", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("_place") / shards).cast("bigint")).drop("_place")
+    at = rows.withColumn("__place", place(F.col("row_number"), n, seed))
+    return at.withColumn("shard", F.pmod("__place", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("__place") / shards).cast("bigint")).drop("__place")
 
 
 def document_keys(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.common import small_batches
+
 #: The vocabulary is broadcast; a file of more bytes is refused.
 VOCABULARY_BYTES = 64 << 20
 #: Lengths in one block of the suffix sums.
@@ -45,6 +47,7 @@ def length_of(spark: SparkSession, path: str, pattern: str) -> Any:
         raise ValueError(f"{path}: vocabulary files of more than {VOCABULARY_BYTES} bytes aren't broadcast")
     ranks = spark.sparkContext.broadcast({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())})
 
+    small_batches(spark)
     digest = hashlib.sha256(lines).hexdigest()
 
     @F.arrow_udf("bigint")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import plain_lower
+from lectern.llm.common import plain_lower, small_batches
 
 #: Labelled documents of each class that the model is fitted to, at most: those with the smallest hash.
 SAMPLE = 2500
@@ -55,11 +55,16 @@ def candidates(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if n <= len(word))]
 
 
-def chosen_cues(bags: list[list[set[str]]], toxic: list[bool]) -> list[str]:
+def bag(text: str) -> list[set[str]]:
+    """The words of each sentence."""
+    return [set(_word.findall(s)) for s in _sentence.findall(lowered(text))]
+
+
+def chosen_cues(texts: list[str], toxic: list[bool]) -> list[str]:
     """The cues that tell the classes apart best, by the log-likelihood ratio of document frequencies."""
     counts = {True: Counter(), False: Counter()}
-    for bag, y in zip(bags, toxic, strict=True):
-        counts[y].update({c for words in bag for w in words for c in candidates(w)})
+    for text, y in zip(texts, toxic, strict=True):
+        counts[y].update({c for w in set(_word.findall(lowered(text))) for c in candidates(w)})
     p, n = max(sum(toxic), 1), max(len(toxic) - sum(toxic), 1)
 
     def gain(a: int, b: int) -> float:
@@ -74,15 +79,14 @@ def chosen_cues(bags: list[list[set[str]]], toxic: list[bool]) -> list[str]:
 
 def train(texts: list[str], toxic: list[bool], class_weights: tuple[float, float] = (1.0, 1.0), steps: int = 400) -> Model:
     """Fit to (text, is toxic); class_weights: of clean and of toxic documents. One class only: no cues, and its share as leak."""
-    bags = [[set(_word.findall(s)) for s in _sentence.findall(lowered(t))] for t in texts]
     if not any(toxic) or all(toxic):
         return Model({}, -6.0, 0.99 if texts and all(toxic) else 0.0)
-    cues = chosen_cues(bags, toxic)
+    cues = chosen_cues(texts, toxic)
     number = {c: i for i, c in enumerate(cues)}
     known: dict[str, list[int]] = {}
     sentence_of, cue_of, doc_of = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
+    for d, text in enumerate(texts):  # bags of all texts at once would take much memory
+        for words in bag(text):
             found = set()
             for w in words:
                 if w not in known:
@@ -200,6 +204,8 @@ def scored(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     A null or empty text has no sentences and scores the leak alone. Other columns stay.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf(KIND)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _scorer(model)
@@ -211,4 +217,4 @@ def scored(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             yield pa.array(out, _KIND)
 
     names = docs.drop("toxicity", "offending").columns
-    return docs.select(*names, score("text").alias("_toxic")).select(*names, F.col("_toxic.score").alias("toxicity"), F.col("_toxic.sentences").alias("offending"))
+    return docs.select(*names, score("text").alias("__toxic")).select(*names, F.col("__toxic.score").alias("toxicity"), F.col("__toxic.sentences").alias("offending"))

@@ -79,9 +79,9 @@ def templates(leaves: DataFrame, levels: int) -> DataFrame:
         ).otherwise(F.lit(False))
         variable = (F.col("k") >= FANOUT) & (F.col("kn") < SUPPORT * F.col("k"))
         star = (F.col("k") > 1) & (variable | ~differs)
-        named = both.select("host", "prefix", F.col("segment").alias("_segment"), F.when(star, F.lit("*")).otherwise(F.col("segment")).alias("_name"))
-        df = df.withColumn("_segment", F.coalesce(segment, F.lit(""))).join(named, ["host", "prefix", "_segment"], "left")
-        df = df.withColumn("prefix", F.when(F.col("_name").isNotNull(), F.concat_ws("/", "prefix", "_name")).otherwise(F.col("prefix"))).drop("_segment", "_name")
+        named = both.select("host", "prefix", F.col("segment").alias("__segment"), F.when(star, F.lit("*")).otherwise(F.col("segment")).alias("__name"))
+        df = df.withColumn("__segment", F.coalesce(segment, F.lit(""))).join(named, ["host", "prefix", "__segment"], "left")
+        df = df.withColumn("prefix", F.when(F.col("__name").isNotNull(), F.concat_ws("/", "prefix", "__name")).otherwise(F.col("prefix"))).drop("__segment", "__name")
         df = settle(df, "level")  # each level reads the one before twice
     return df.select("host", "shape", "n", "labelled", "good", F.when(F.col("prefix") == "", F.lit("/")).otherwise(F.col("prefix")).alias("template"))
 
@@ -95,17 +95,17 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[Rule]) -> DataFrame:
     """
     own = ["host", "path", "template", "purity", "rule", "verdict"]
     host, path = parts(F.col("url"))
-    df = pages.drop(*own).withColumn("host", host).withColumn("path", path).withColumn("_shape", shapes(F.col("path")))
+    df = pages.drop(*own).withColumn("host", host).withColumn("path", path).withColumn("__shape", shapes(F.col("path")))
     known = labels.where("id is not null and good is not null").groupBy("id").agg(F.min(F.col("good").cast("int")).alias("good"))
-    seen = df.select("page_id", "host", "_shape").join(known, F.col("page_id") == F.col("id"), "left")
-    leaves = seen.groupBy("host", F.col("_shape").alias("shape")).agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    seen = df.select("page_id", "host", "__shape").join(known, F.col("page_id") == F.col("id"), "left")
+    leaves = seen.groupBy("host", F.col("__shape").alias("shape")).agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     leaves = settle(leaves, "leaves")
     total = leaves.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.max(F.size("shape")), F.lit(0)).alias("levels")).first()
     overall = total["g"] / total["l"] if total["l"] else 1.0
     trees = templates(leaves, total["levels"])
     pure = trees.groupBy("host", "template").agg(((F.sum("good") + F.lit(PRIOR * overall)) / (F.sum("labelled") + F.lit(PRIOR))).alias("purity"))
-    verdicts = settle(trees.select(F.col("host"), F.col("shape").alias("_shape"), "template").join(pure, ["host", "template"]), "verdicts")
+    verdicts = settle(trees.select(F.col("host"), F.col("shape").alias("__shape"), "template").join(pure, ["host", "template"]), "verdicts")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    out = df.join(verdicts, ["host", "_shape"], "left").withColumn("rule", rule)
+    out = df.join(verdicts, ["host", "__shape"], "left").withColumn("rule", rule)
     out = out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("purity") < 0.5, F.lit("block")).otherwise(F.lit("allow"))))
     return out.select(*pages.drop(*own).columns, *own)
