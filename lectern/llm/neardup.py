@@ -8,7 +8,7 @@ similarity. Points are drawn, in growing portions, only while they come before a
 
 Registers are banded. Texts that share a band are candidates; candidates are verified on their whole
 texts. In each band the texts are first compared with one of them, the centre; then, in bands whose texts are not
-all in one class by then, all pairs across classes are compared, in blocks of bounded size, on
+all in one class by then, pairs across classes are compared, in blocks of bounded size, on
 signatures, and the likely ones verified. Classes are the connected components of the verified links.
 """
 
@@ -183,7 +183,8 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = settle(stars, "stars")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = nodes.join(ids, "id").select("key", "id")
-    texts = settle(keyed.join(wanted, "key").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    # Copies are reduced to one before the exchange, which serves the join too.
+    texts = settle(keyed.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("id", "text"), "texts")
 
     def verified(candidates: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -197,12 +198,18 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     links = links.unionByName(verified(rest))
     roots = components(links)
 
-    # Bands whose texts aren't of one class yet: pairs across classes, none of them with the centre.
+    # Bands whose texts aren't of one class yet: pairs across classes, none of them with the centre. Texts of a
+    # band's largest class meet those of the others only, never each other, so one large class costs a row each.
     named = banded.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = named.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high and n > 2")
-    open_ = named.join(mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band").join(nodes.select("id", "signature"), "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("major")).where("n > most and n > 2")
+    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("band", "major", in_blocks(F.col("most")).alias("most"), in_blocks(F.col("n") - F.col("most")).alias("rest"))
+    open_ = named.join(mixed, "band").join(nodes.select("id", "signature"), "id")
+    major, dealt_to = F.col("root") == F.col("major"), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    block = F.when(major, F.col("rest") + dealt_to(F.col("most"))).otherwise(dealt_to(F.col("rest")))
+    others = F.sequence(F.lit(0), F.when(major, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
+    cells = F.transform(others, lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
     dealt = open_.withColumn("block", block).select("band", "id", "root", "signature", "block", F.inline(cells))
 
     def compared(cell: pd.DataFrame) -> pd.DataFrame:

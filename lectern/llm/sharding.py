@@ -78,8 +78,9 @@ def numbered(df: DataFrame, keys: list[str], number: str) -> tuple[DataFrame, in
         total += c
     if not offsets:
         return fixed.withColumn(number, F.lit(None).cast("bigint")).drop(part, local), 0
-    base = F.element_at(F.create_map(*(F.lit(x).cast("bigint") for kv in offsets.items() for x in kv)), F.col(part))
-    return fixed.withColumn(number, F.col(local) + base).drop(part, local), total
+    base = df.sparkSession.createDataFrame(sorted(offsets.items()), f"{part} bigint, __base bigint")
+    # One row for each partition: the bound of what is broadcast.
+    return fixed.join(F.broadcast(base), part).withColumn(number, F.col(local) + F.col("__base")).drop(part, local, "__base"), total
 
 
 def sharded(df: DataFrame, shards: int, keys: list[str], seed: int = 0) -> DataFrame:
