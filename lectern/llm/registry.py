@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, html, licenses, neardup, quality, sharding, tokencount, toxicity, urls
+from lectern.llm import bpe, decontamination, html, licenses, neardup, oracles, quality, sharding, tokencount, toxicity, urls
 from lectern.llm.common import settle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,4 +119,10 @@ QUERIES: dict[str, Query] = {
     "op9_main_text": op9_main_text,
     "op10_url_filter": op10_url_filter,
 }
-ORACLES: dict[str, str] = {}
+#: The others encode, learn, extract or hash as SQL can't; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_licenses": oracles.LICENSES,
+    "op7_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op8_decontamination": oracles.DECONTAMINATION,
+    "op10_url_filter": oracles.urls(URL_RULES),
+}
