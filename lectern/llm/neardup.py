@@ -9,13 +9,14 @@ similarity. Points are drawn, in growing portions, only while they come before a
 Registers are banded. Texts that share a band are candidates; candidates are verified on their whole
 texts. In each band the texts are first compared with one of them, the centre; then, in bands whose texts are not
 all in one class by then, pairs across classes are compared, in blocks of bounded size, on
-signatures, and the likely ones verified. Classes are the connected components of the verified links.
+signatures, and the likely ones verified: first the closest of each text, which join most of what belongs
+together, then whatever still lies across classes. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -36,6 +37,10 @@ REGISTERS = BANDS * ROWS
 LIKELY = 0.66
 #: Texts of a band in one block of the pairwise comparison.
 BLOCK = 1024
+#: Closest partners of other classes that a text is verified with, in each band, before all pairs that are left.
+CLOSEST = 2
+#: Texts whose shingles a worker remembers, if they have no more characters than this. Bears on speed only.
+REMEMBERED_BAGS, SHORT = 4096, 8192
 
 _U = np.uint64
 _GOLDEN, _SILVER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -53,11 +58,21 @@ def shingles(words: list[str]) -> np.ndarray:
     return grams(hashes, min(SHINGLE, len(words))) if words else np.zeros(0, np.uint64)
 
 
+def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct shingle hashes, sorted, their counts, and the sum of these."""
+    found, counts = np.unique(shingles(words_of(text)), return_counts=True)
+    return found, counts, int(counts.sum())
+
+
+_short_bag = lru_cache(REMEMBERED_BAGS)(_bag)
+
+
 def overlap(a: str | None, b: str | None) -> float:
     """Weighted Jaccard index of the shingle multisets; of texts without words: 0."""
-    x, y = (Counter(shingles(words_of(t)).tolist()) for t in (a, b))
-    shared = (x & y).total()
-    joint = x.total() + y.total() - shared
+    (x, m, p), (y, n, q) = (_short_bag(t) if len(t or "") <= SHORT else _bag(t) for t in (a, b))
+    _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = int(np.minimum(m[at], n[to]).sum())
+    joint = p + q - shared
     return shared / joint if joint else 0.0
 
 
@@ -168,6 +183,51 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).drop("x", "y")
 
 
+def _across(nodes: DataFrame, roots: DataFrame, few: int | None) -> DataFrame:
+    """Pairs (a, b), a > b, that share a band, differ in their classes and are likely by their signatures.
+
+    few: only that many, the closest, of each text in each band; else all, each in the first band that both
+    share. Texts of a band's largest class meet those of the others only, never each other, so that
+    one large class costs a row for each of its texts and block of others.
+    """
+    banded = nodes.select("id", F.explode("bands").alias("band"))
+    named = banded.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("major")).where("n > most and n > 2")
+    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("band", "major", in_blocks(F.col("most")).alias("most"), in_blocks(F.col("n") - F.col("most")).alias("rest"))
+    open_ = named.join(mixed, "band").join(nodes.select("id", "bands", "signature"), "id")
+    major, dealt_to = F.col("root") == F.col("major"), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    block = F.when(major, F.col("rest") + dealt_to(F.col("most"))).otherwise(dealt_to(F.col("rest")))
+    others = F.sequence(F.lit(0), F.when(major, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
+    cells = F.transform(others, lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    dealt = open_.withColumn("block", block).select("band", "id", "root", "bands", "signature", "block", F.inline(cells))
+
+    def compared(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("id")
+        s = np.frombuffer(b"".join(cell["signature"]), np.uint16).reshape(len(cell), REGISTERS)
+        ids, own, part = (cell[c].to_numpy() for c in ("id", "root", "block"))
+        every = np.stack(list(cell["bands"]))
+        before = every[:, : int(np.flatnonzero(every[0] == cell["band"].iloc[0])[0])]
+        crossing = cell["x"].iloc[0] != cell["y"].iloc[0]
+        out = []
+        for i in range(1, len(cell)):
+            other = own[:i] != own[i]
+            if crossing:
+                other &= part[:i] != part[i]
+            at = np.flatnonzero(other)
+            if few is None:
+                at = at[~(before[at] == before[i]).any(axis=1)]
+            agree = (s[at] == s[i]).mean(axis=1)
+            at, agree = at[agree >= LIKELY], agree[agree >= LIKELY]
+            if few is not None and len(at) > few:
+                at = at[np.argsort(-agree, kind="stable")[:few]]
+            out.append(np.column_stack([np.full(len(at), ids[i]), ids[at]]))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+    return dealt.groupBy("band", "x", "y").applyInPandas(compared, "a bigint, b bigint").distinct()
+
+
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, root_key): for the md5 of every text with words, the md5 that stands for its class.
 
@@ -198,41 +258,12 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     links = links.unionByName(verified(rest))
     roots = components(links)
 
-    # Bands whose texts aren't of one class yet: pairs across classes, none of them with the centre. Texts of a
-    # band's largest class meet those of the others only, never each other, so one large class costs a row each.
-    named = banded.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("major")).where("n > most and n > 2")
-    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.select("band", "major", in_blocks(F.col("most")).alias("most"), in_blocks(F.col("n") - F.col("most")).alias("rest"))
-    open_ = named.join(mixed, "band").join(nodes.select("id", "signature"), "id")
-    major, dealt_to = F.col("root") == F.col("major"), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    block = F.when(major, F.col("rest") + dealt_to(F.col("most"))).otherwise(dealt_to(F.col("rest")))
-    others = F.sequence(F.lit(0), F.when(major, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
-    cells = F.transform(others, lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    dealt = open_.withColumn("block", block).select("band", "id", "root", "signature", "block", F.inline(cells))
-
-    def compared(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("id")
-        s = np.frombuffer(b"".join(cell["signature"]), np.uint16).reshape(len(cell), REGISTERS)
-        ids, own, part = (cell[c].to_numpy() for c in ("id", "root", "block"))
-        crossing = cell["x"].iloc[0] != cell["y"].iloc[0]
-        out = []
-        for i in range(len(cell) - 1):
-            other = own[i + 1 :] != own[i]
-            if crossing:
-                other &= part[i + 1 :] != part[i]
-            at = np.flatnonzero(other) + i + 1
-            if len(at):
-                at = at[(s[at] == s[i]).mean(axis=1) >= LIKELY]
-                out.append(np.column_stack([ids[at], np.full(len(at), ids[i])]))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    across = dealt.groupBy("band", "x", "y").applyInPandas(compared, "a bigint, b bigint").distinct()
-    tried = pairs.select("a", "b")
-    late = settle(across.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "late")
-    roots = components(links.unionByName(verified(late)))
+    tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    for few in (CLOSEST, None):
+        late = settle(_across(nodes, roots, few).join(tried, ["a", "b"], "left_anti"), "late")
+        links = links.unionByName(verified(late))
+        roots = components(links)
+        tried = tried.unionByName(late)
     names = nodes.select("id", "key")
     of = names.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("root"))
     return of.join(names.select(F.col("id").alias("root"), F.col("key").alias("root_key")), "root").select("key", "root_key")
