@@ -99,7 +99,7 @@ def urls(rules: list[tuple[str, str]]) -> str:
     return f"""
 WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
-split AS (SELECT *, list_transform(list_filter(string_split(path, '/'), x -> x <> ''), x -> regexp_replace(x, '[0-9]+', '#', 'g')) AS segments FROM q),
+split AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS segments FROM q),
 shaped AS (SELECT page_id, host, path, CASE WHEN len(segments) > {DEPTH} THEN segments[1:{DEPTH}] || ['**'] ELSE segments END AS shape FROM split),
 known AS (SELECT doc_id AS id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NULL AND toxic = 0 THEN NULL WHEN toxic IS NULL AND quality = 1 THEN NULL WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 l0 AS (SELECT host, shape, count(*) AS n, count(good) AS labelled, coalesce(sum(good), 0) AS good, '' AS prefix FROM shaped LEFT JOIN known ON page_id = id GROUP BY host, shape),
