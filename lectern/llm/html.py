@@ -1,30 +1,30 @@
 """Main text of HTML pages, with wrappers inferred from pages of the same host.
 
-A few pages of each host, a bounded number, are aligned one after another into a wrapper, a union-free
-regular expression over tags: runs of like siblings become repeated groups, what only some pages have
-becomes optional, text that differs becomes a slot. Text that a wrapper keeps literally is the host's template.
+A block (path and text) that nearly all distinct pages of a host have is literal in the host's wrapper, its
+template; every other is a slot. Counts over all pages decide that. ``infer`` also writes the wrapper of given pages
+as a union-free regular expression over tags: runs of like siblings become repeated groups, what only some pages
+have becomes optional.
 From each page come the texts of its main part, without parts whose element, class or role says that they are
 none of the article, and, where no element marks the main part, without the host's template texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import settle, small_batches
 from lectern.llm.urls import parts
 
-#: Pages of a host that its wrapper is inferred from, at most, and that it needs at least.
-PAGES, LEAST = 6, 3
+#: Distinct pages that a host needs for a wrapper and a literal is on, at least, and the share of the host's distinct pages that a literal is on.
+LEAST, HELD = 3, 0.8
 #: Bytes of wrappers' texts up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -201,24 +201,46 @@ def infer(pages: list[str]) -> tuple[str, list[list[str]]]:
     return expression(wrapper), literal(wrapper) if len(set(pages)) >= LEAST else []
 
 
-def main_text(page: str, template: set[tuple[str, str]]) -> str:
+def _chosen(page: str, is_literal: Callable[[str, str], bool]) -> str:
     found = list(leaves(page))
     main = [text for _, text, other, is_main in found if is_main and not other]
-    return " ".join(main or [text for path, text, other, _ in found if not other and (path, text) not in template])
+    return " ".join(main or [text for path, text, other, _ in found if not other and not is_literal(path, text)])
+
+
+def main_text(page: str, template: set[tuple[str, str]]) -> str:
+    return _chosen(page, lambda path, text: (path, text) in template)
+
+
+def mark(path: str, text: str) -> int:
+    """A block's 64-bit hash."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _near(of: DataFrame, size: Column) -> DataFrame:
+    """``of`` to be broadcast if it is small; else adaptive execution splits what very large hosts join."""
+    total = of.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(of) if total <= BROADCAST_BYTES else of
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, literals) for every host: from its pages with the smallest hashes, PAGES at most."""
-    host, _ = parts(F.col("url"))
-    ranked = pages.select(host.alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("order", F.xxhash64("html"))
-    few = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("order"))).where(F.col("rank") <= PAGES)
+    """(host, literals) for every host with literals: the blocks' marks, joined by commas, decided from all its distinct pages.
+
+    Copies of a page count once. Pages without a host have no wrapper. What is counted are marks, so no texts are dealt out.
+    """
+    small_batches(pages.sparkSession)
 
-    def inferred(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values(["order", "html"])
-        wrapper, texts = infer(list(own["html"]))
-        return pd.DataFrame([(own["host"].iloc[0], wrapper, json.dumps(texts))], columns=["host", "wrapper", "literals"])
+    @F.arrow_udf("array<bigint>")
+    def marks_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for htmls in batches:
+            yield pa.array([list({mark(path, text) for path, text, other, _ in leaves(page.as_py()) if not other}) for page in htmls], pa.list_(pa.int64()))
 
-    return few.groupBy("host").applyInPandas(inferred, "host string, wrapper string, literals string")
+    host, _ = parts(F.col("url"))
+    own = pages.where("html IS NOT NULL").select(host.alias("host"), F.xxhash64("html").alias("page"), "html").where("host <> ''")
+    sizes = settle(own.groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= LEAST), "hosts")
+    blocks = own.select("host", "page", F.explode(marks_of("html")).alias("block"))
+    counts = blocks.groupBy("host", "block").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= LEAST)
+    held = counts.join(_near(sizes, F.octet_length("host") + 32), "host").where(F.col("n") >= HELD * F.col("pages"))
+    return held.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(F.col("block"))).cast("array<string>"), ",").alias("literals"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -228,22 +250,21 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def text_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        known: dict[str, set[tuple[str, str]]] = {}
+        known: dict[str, frozenset[int]] = {}
         for htmls, literals in batches:
             out = []
             for page, own in zip(htmls, literals, strict=True):
-                key = own.as_py() or "[]"
+                key = own.as_py() or ""
                 if key not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[key] = {(a, b) for a, b in json.loads(key)}
-                out.append(main_text(page.as_py() or "", known[key]))
+                    known[key] = frozenset(map(int, key.split(","))) if key else frozenset()
+                template = known[key]
+                out.append(_chosen(page.as_py() or "", lambda path, text: bool(template) and mark(path, text) in template))  # noqa: B023
             yield pa.array(out, pa.string())
 
     names = pages.drop("text").columns
     host, _ = parts(F.col("url"))
-    of = settle(wrappers(pages), "wrappers").select(F.col("host").alias("__host"), F.col("literals").alias("__literals")).where("__literals <> '[]'")
-    size = of.agg(F.coalesce(F.sum(F.octet_length("__literals") + F.octet_length("__host") + 32), F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:
-        of = F.broadcast(of)  # else the pages are dealt by host, and adaptive execution splits hosts of very many pages
+    of = settle(wrappers(pages), "wrappers").select(F.col("host").alias("__host"), F.col("literals").alias("__literals"))
+    of = _near(of, F.octet_length("__literals") + F.octet_length("__host") + 32)
     return pages.withColumn("__host", host).join(of, "__host", "left").select(*names, text_of("html", "__literals").alias("text"))
