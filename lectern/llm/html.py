@@ -4,8 +4,8 @@ A block (path and text) that nearly all distinct pages of a host have is literal
 template; every other is a slot. Counts over all pages decide that. ``infer`` also writes the wrapper of given pages
 as a union-free regular expression over tags: runs of like siblings become repeated groups, what only some pages
 have becomes optional.
-From each page come the texts of its main part, without parts whose element, class or role says that they are
-none of the article, and, where no element marks the main part, without the host's template texts.
+From each page come the texts in slots, of its main part if an element marks one, without parts whose element, class
+or role says that they are none of the article.
 """
 
 from __future__ import annotations
@@ -202,9 +202,10 @@ def infer(pages: list[str]) -> tuple[str, list[list[str]]]:
 
 
 def _chosen(page: str, is_literal: Callable[[str, str], bool]) -> str:
-    found = list(leaves(page))
-    main = [text for _, text, other, is_main in found if is_main and not other]
-    return " ".join(main or [text for path, text, other, _ in found if not other and not is_literal(path, text)])
+    """The texts in the wrapper's slots: those of the main part if an element marks one, else of the whole page."""
+    own = [(path, text, is_main) for path, text, other, is_main in leaves(page) if not other]
+    marked = any(is_main for _, _, is_main in own)
+    return " ".join(text for path, text, is_main in own if is_main >= marked and not is_literal(path, text))
 
 
 def main_text(page: str, template: set[tuple[str, str]]) -> str:

@@ -26,3 +26,9 @@ def test_what_a_few_pages_share_is_no_template(spark):
 def test_pages_without_a_host_have_no_template(spark):
     found = texts(spark, [(None, f"<p>same</p><div>{i}</div>") for i in range(5)])
     assert found == {i: f"same {i}" for i in range(5)}
+
+
+def test_template_inside_the_article_goes(spark):
+    rows = [("http://h.example/a", f"<article><p>text {i}</p><div class='x1'>Buy now</div></article><div>tail {i}</div>") for i in range(5)]
+    assert texts(spark, rows) == {i: f"text {i}" for i in range(5)}
+    assert H.main_text("<main><p>a</p><p>b</p></main><p>c</p>", {("main/p", "a"), ("main/p", "b")}) == ""
