@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -116,45 +117,69 @@ def leaves(page: str) -> Iterator[tuple[str, str, bool, bool]]:
 
 
 Node = dict[str, Any]
+Block = tuple[str, str]
 
 
-def tree(page: str) -> Node:
-    """The page's blocks as a tree of elements by path, like siblings in a row merged to one repeated group."""
-    root: Node = {"name": "", "children": [], "text": None, "optional": False, "repeated": False}
+def constants(pages: list[str]) -> set[Block]:
+    """The blocks that are literal in a wrapper of these distinct pages."""
+    on = Counter(block for page in pages for block in {(path, text) for path, text, _, _ in leaves(page)})
+    return {block for block, n in on.items() if n >= max(LEAST, HELD * len(pages))}
+
+
+def _node(name: str, text: str | None = None) -> Node:
+    return {"name": name, "children": [], "text": text, "optional": False, "repeated": False}
+
+
+def tree(page: str, literals: set[Block]) -> Node:
+    """The page's blocks as a tree of elements by path.
+
+    Like siblings in a row are nodes of their own where they are literals; slots in a row are one repeated group.
+    """
+    root = _node("")
     previous: list[str] = []
     for path, text, _, _ in leaves(page):
         names = path.split("/") if path else []
+        shown = text if (path, text) in literals else None
         node = root
         for k, name in enumerate(names):
             last = node["children"][-1] if node["children"] else None
-            if last is None or last["name"] != name:
-                last = {"name": name, "children": [], "text": None, "optional": False, "repeated": False}
-                node["children"].append(last)
-            elif k == len(names) - 1 and previous == names:
+            again = last is not None and last["name"] == name and k == len(names) - 1 and previous == names
+            slot = again and shown is None and last["children"][-1]["name"] == "#" and last["children"][-1]["text"] is None
+            if slot:
                 last["repeated"] = True
+            elif last is None or last["name"] != name or again:
+                last = _node(name)
+                node["children"].append(last)
             node = last
-        leaf = next((c for c in node["children"] if c["name"] == "#"), None)
-        if leaf is None:
-            node["children"].append({"name": "#", "children": [], "text": text, "optional": False, "repeated": False})
-        elif leaf["text"] != text:
-            leaf["text"] = None
+        end = node["children"][-1] if node["children"] else None
+        if end is None or end["name"] != "#" or end["text"] != shown:
+            node["children"].append(_node("#", shown))
         previous = names
     return root
 
 
+def _key(node: Node) -> tuple[str, str | None]:
+    """What partners in an alignment have in common: the name, and the text of a literal."""
+    if node["name"] == "#":
+        return "#", node["text"]
+    own = node["children"]
+    return node["name"], own[0]["text"] if len(own) == 1 and own[0]["name"] == "#" else None
+
+
 def aligned(wrapper: Node, sample: Node) -> Node:
     """The wrapper generalised so that it takes the sample too.
 
-    Children are aligned in order by name. One without a partner becomes optional, unequal texts a slot.
+    Children are aligned in order by name and literal text. One without a partner becomes optional.
     """
     a, b = wrapper["children"], sample["children"]
+    x, y = [_key(c) for c in a], [_key(c) for c in b]
     longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            longest[i][j] = longest[i + 1][j + 1] + 1 if a[i]["name"] == b[j]["name"] else max(longest[i + 1][j], longest[i][j + 1])
+            longest[i][j] = longest[i + 1][j + 1] + 1 if x[i] == y[j] else max(longest[i + 1][j], longest[i][j + 1])
     children, i, j = [], 0, 0
     while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i]["name"] == b[j]["name"]:
+        if i < len(a) and j < len(b) and x[i] == y[j]:
             children.append(aligned(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == len(b) or (i < len(a) and longest[i + 1][j] >= longest[i][j + 1]):
@@ -163,13 +188,7 @@ def aligned(wrapper: Node, sample: Node) -> Node:
         else:
             children.append(b[j] | {"optional": True})
             j += 1
-    return {
-        "name": wrapper["name"],
-        "children": children,
-        "text": wrapper["text"] if wrapper["text"] == sample["text"] else None,
-        "optional": wrapper["optional"] or sample["optional"],
-        "repeated": wrapper["repeated"] or sample["repeated"],
-    }
+    return wrapper | {"children": children, "optional": wrapper["optional"] or sample["optional"], "repeated": wrapper["repeated"] or sample["repeated"]}
 
 
 def expression(node: Node) -> str:
@@ -184,21 +203,14 @@ def expression(node: Node) -> str:
     return own
 
 
-def literal(node: Node, path: str = "") -> list[list[str]]:
-    """[path, text] of the texts that all pages had in common."""
-    out = [] if node["name"] != "#" or node["text"] is None or node["optional"] else [[path, node["text"]]]
-    for child in node["children"]:
-        below = path if child["name"] == "#" else f"{path}/{child['name']}" if path else child["name"]
-        out += literal(child, below) if not node["optional"] else []
-    return out
-
-
 def infer(pages: list[str]) -> tuple[str, list[list[str]]]:
-    """A wrapper for pages, aligned one after another: (expression, literal texts)."""
-    wrapper = tree(pages[0])
-    for page in pages[1:]:
-        wrapper = aligned(wrapper, tree(page))
-    return expression(wrapper), literal(wrapper) if len(set(pages)) >= LEAST else []
+    """A wrapper for all distinct pages, aligned one after another: (expression, [path, text] of its literals)."""
+    own = list(dict.fromkeys(pages))
+    literals = constants(own)
+    wrapper = tree(own[0], literals)
+    for page in own[1:]:
+        wrapper = aligned(wrapper, tree(page, literals))
+    return expression(wrapper), [list(block) for block in sorted(literals)]
 
 
 def _chosen(page: str, is_literal: Callable[[str, str], bool]) -> str:
@@ -208,7 +220,7 @@ def _chosen(page: str, is_literal: Callable[[str, str], bool]) -> str:
     return " ".join(text for path, text, is_main in own if is_main >= marked and not is_literal(path, text))
 
 
-def main_text(page: str, template: set[tuple[str, str]]) -> str:
+def main_text(page: str, template: set[Block]) -> str:
     return _chosen(page, lambda path, text: (path, text) in template)
 
 

@@ -32,3 +32,11 @@ def test_template_inside_the_article_goes(spark):
     rows = [("http://h.example/a", f"<article><p>text {i}</p><div class='x1'>Buy now</div></article><div>tail {i}</div>") for i in range(5)]
     assert texts(spark, rows) == {i: f"text {i}" for i in range(5)}
     assert H.main_text("<main><p>a</p><p>b</p></main><p>c</p>", {("main/p", "a"), ("main/p", "b")}) == ""
+
+
+def test_constant_siblings_are_literals(spark):
+    pages = [f"<body><p>Accept cookies</p><p>article {i}</p>{'<p>more</p>' * (i % 2)}<p>Copyright</p></body>" for i in range(4)]
+    expression, literals = H.infer(pages)
+    assert expression == "<body><p>Accept cookies</p>(<p>#TEXT</p>)+<p>Copyright</p></body>"
+    assert literals == [["body/p", "Accept cookies"], ["body/p", "Copyright"]]
+    assert texts(spark, [("http://h.example/a", p) for p in pages]) == {i: f"article {i}" + " more" * (i % 2) for i in range(4)}
