@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import LOWER, UPPER, settle
 
-#: Levels of the tree; what lies deeper is one last segment "**".
+#: Levels at which the SQL beside this query stops; the tree itself goes as deep as the deepest path.
 DEPTH = 5
 #: A node with this many children or more, of fewer pages each than this on average, has variable children.
 FANOUT, SUPPORT = 12, 4.0
@@ -49,10 +49,9 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
 
 
 def shapes(path: Column) -> Column:
-    """The path's segments, digits generalised to "#", at most DEPTH and "**" for the rest."""
+    """The path's segments, all of them, digits generalised to "#"."""
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    generalised = F.transform(segments, lambda x: F.regexp_replace(x, "[0-9]+", "#"))
-    return F.when(F.size(generalised) > DEPTH, F.array_append(F.slice(generalised, 1, DEPTH), F.lit("**"))).otherwise(generalised)
+    return F.transform(segments, lambda x: F.regexp_replace(x, "[0-9]+", "#"))
 
 
 def templates(leaves: DataFrame, levels: int) -> DataFrame:
