@@ -102,7 +102,7 @@ def concat_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang AS book_id, '[' || string_agg('{\"title\":' || to_json(concat('T', doc_id))::VARCHAR || ',\"content\":' || to_json(substr(text, 1, 200))::VARCHAR || '}', ',' ORDER BY doc_id) || ']' AS json FROM documents GROUP BY lang")
 def chapters_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = table(spark, sf_dir, "documents").select("lang", "doc_id", F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.substring("text", 1, 200).alias("content"))
+    some = table(spark, sf_dir, "documents").select("lang", "doc_id", F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
     rows = F.sort_array(F.collect_list(F.struct("doc_id", "title", "content")))
     return some.groupBy(F.col("lang").alias("book_id")).agg(F.to_json(F.transform(rows, lambda x: F.struct(x["title"].alias("title"), x["content"].alias("content")))).alias("json"))
 
