@@ -31,9 +31,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chapter; every third one has no title."""
     order = Window.partitionBy("source").orderBy("doc_id")
-    some = table(spark, sf_dir, "documents").where("doc_id % 3 > 0")
-    return some.select(F.col("source").alias("book_id"), (F.row_number().over(order) - 1).alias("chapter_idx"), F.concat(F.lit("Część "), F.col("doc_id").cast("string")).alias("title"))
+    title = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Część "), F.col("doc_id").cast("string")))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), (F.row_number().over(order) - 1).alias("chapter_idx"), title.alias("title"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
