@@ -37,10 +37,10 @@ def outline_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     "coalesce(s || 'Streszczenie:' || chr(10) || nullif(lag(substr(text, 1, 30)) OVER (PARTITION BY conv_id ORDER BY turn), ''), '') AS prompt FROM (SELECT *, chr(10) || chr(10) || '---' || chr(10) || chr(10) AS s FROM conversations)"
 )
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn's prompt with the summary of the turn before."""
+    """Each turn's prompt with the text of the turn before as its summary."""
     order = Window.partitionBy("conv_id").orderBy("turn")
     style, outline = F.when(F.col("role") == "user", F.lit("Styl")), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("w"), F.col("turn").cast("string")))
-    before = F.lag(F.substring("text", 1, 30)).over(order)
+    before = F.lag("text").over(order)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.prompt(F.lit("Zasady"), F.col("text"), style, F.col("turn"), F.lit(9), outline, before).alias("prompt"))
 
 

@@ -79,7 +79,7 @@ _scalar(
 )
 _scalar(
     "ensure_terminal_punct",
-    lambda: T.ensure_terminal_punct(F.substring(F.col("text"), 1, 60)),
+    lambda: T.ensure_terminal_punct(F.col("text")),
     "CASE WHEN v = '' OR regexp_matches(v, '[.!?…]$') THEN v ELSE v || '.' END".replace("v", f"({sql_replace('substr(text, 1, 60)', f'{WS}+$', '')})"),
 )
 _scalar("word_count", lambda: T.word_count(F.col("content")).cast("bigint"), sql_words("content") + "::BIGINT")
@@ -91,7 +91,7 @@ _scalar(
     lambda: N.md_title(F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("# ")).otherwise(F.lit("")), F.col("title"), F.lit("\n"), F.col("content")), F.col("filename")),
     f"CASE WHEN doc_id % 2 = 0 THEN {sql_strip('title')} ELSE {sql_file_title('filename')} END",
 )
-_scalar("camel_ascii", lambda: N.camel_ascii(F.concat(F.col("title"), F.lit(" łódź straße "), F.substring(F.col("content"), 1, 80))), sql_camel("concat(title, ' łódź straße ', substr(content, 1, 80))"))
+_scalar("camel_ascii", lambda: N.camel_ascii(F.concat(F.col("title"), F.lit(" łódź straße "), F.col("content"))), sql_camel("concat(title, ' łódź straße ', substr(content, 1, 80))"))
 _scalar(
     "mp3_filename",
     lambda: N.mp3_filename(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 12), F.col("pos"), F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.lit("Noc nad Wisłą")), F.col("title"), F.lit("Stanisław Żak"), F.lit("mp3")),

@@ -28,3 +28,19 @@ def test_every_chapter_has_neighbours_and_a_label(spark, sf_dir):
         ids, index = books[r.book_id], r["index"]
         doc = ids[index - 1] if 0 < index <= len(ids) else 0
         assert r.label == ("Wprowadzenie" if index == 0 else f"Część {doc}" if doc % 3 else f"Rozdział {index}")
+
+
+
+def test_text_functions_take_the_whole_column(spark, sf_dir):
+    texts = {r.doc_id: r.text.rstrip() for r in rows(spark, sf_dir, "documents")}
+    for r in QUERIES["ensure_terminal_punct"](spark, sf_dir).collect():
+        text = texts[r.doc_id]
+        assert r.value == (text if text == "" or text[-1] in ".!?…" else text + ".")
+    assert all(r.value.endswith("KoniecTom21") for r in QUERIES["camel_ascii"](spark, sf_dir).collect())
+
+
+def test_prompt_carries_the_whole_turn_before(spark, sf_dir):
+    turns = sorted(rows(spark, sf_dir, "conversations"), key=lambda r: (r.conv_id, r.turn))
+    prompts = {(r.conv_id, r.turn): r.prompt for r in QUERIES["prompt_assembly"](spark, sf_dir).collect()}
+    pairs = [(a, b) for a, b in zip(turns, turns[1:]) if a.conv_id == b.conv_id and a.text and a.turn < b.turn]
+    assert pairs and all(prompts[b.conv_id, b.turn].endswith("Streszczenie:\n" + a.text) for a, b in pairs)
