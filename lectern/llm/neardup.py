@@ -7,16 +7,16 @@ weight. A register keeps its earliest point; two texts agree in a register with
 similarity. Points are drawn, in growing portions, only while they come before a text's latest register.
 
 Registers are banded. Texts that share a band are candidates; candidates are verified on their whole
-texts. In each band the texts are first compared with one of them, the centre; then, in bands whose texts are not
-all in one class by then, pairs across classes are compared, in blocks of bounded size, on
-signatures, and the likely ones verified: first the closest of each text, which join most of what belongs
-together, then whatever still lies across classes. Classes are the connected components of the verified links.
+bags of shingles. First each text is verified with one text, the smallest of the band that it shares with most.
+Then every band whose texts are not all in one class by then is dealt out in blocks of bounded size, and pairs of
+blocks are compared on signatures; what has a likely partner in another class gets its bag and is
+verified in the same pair of blocks, which keeps classes of its own and hands on the links that join two of them.
+So what leaves a pair of blocks is never more than its texts. Classes are the connected components of all links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -35,12 +35,12 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Signatures that agree in less than this share (over four standard errors below 0.8) aren't verified.
 LIKELY = 0.66
-#: Texts of a band in one block of the pairwise comparison.
-BLOCK = 1024
-#: Closest partners of other classes that a text is verified with, in each band, before all pairs that are left.
-CLOSEST = 2
-#: Texts whose shingles a worker remembers, if they have no more characters than this. Bears on speed only.
-REMEMBERED_BAGS, SHORT = 4096, 8192
+#: Texts, and bytes of their bags, of a band in one block of the pairwise comparison.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: A key that holds more than one row in so many is joined by broadcast, of at most so many rows; the others by a shuffle.
+HEAVY = 1000
+#: Partners that are verified at once; before the next ones, those that are in one class by then are left out.
+AT_ONCE = 64
 
 _U = np.uint64
 _GOLDEN, _SILVER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -58,22 +58,35 @@ def shingles(words: list[str]) -> np.ndarray:
     return grams(hashes, min(SHINGLE, len(words))) if words else np.zeros(0, np.uint64)
 
 
-def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct shingle hashes, sorted, their counts, and the sum of these."""
-    found, counts = np.unique(shingles(words_of(text)), return_counts=True)
-    return found, counts, int(counts.sum())
+def tagged(hashes: np.ndarray) -> np.ndarray:
+    """A multiset of hashes as a sorted set: the n-th of equal ones is hashed with n."""
+    own = np.sort(hashes)
+    if len(own) < 2:
+        return own
+    first = np.r_[True, own[1:] != own[:-1]]
+    at = np.arange(len(own))
+    nth = at - np.maximum.accumulate(np.where(first, at, 0))
+    if not nth.any():
+        return own
+    with np.errstate(over="ignore"):
+        return np.sort(np.where(nth > 0, _mix(own + nth.astype(_U) * _U(_GOLDEN)), own))
 
 
-_short_bag = lru_cache(REMEMBERED_BAGS)(_bag)
+def shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard index of a tagged bag and each of the others; of two empty ones: 0."""
+    sizes = np.array([len(x) for x in others], np.int64)
+    both = np.zeros(len(others), np.int64)
+    if len(one) and sizes.any():
+        every = np.concatenate(others)
+        found = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+        both = np.diff(np.r_[0, np.cumsum(found)][np.r_[0, np.cumsum(sizes)]])
+    joint = len(one) + sizes - both
+    return np.where(joint > 0, both / np.maximum(joint, 1), 0.0)
 
 
 def overlap(a: str | None, b: str | None) -> float:
-    """Weighted Jaccard index of the shingle multisets; of texts without words: 0."""
-    (x, m, p), (y, n, q) = (_short_bag(t) if len(t or "") <= SHORT else _bag(t) for t in (a, b))
-    _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(m[at], n[to]).sum())
-    joint = p + q - shared
-    return shared / joint if joint else 0.0
+    """Weighted Jaccard index of two texts' shingle multisets; of texts without words: 0."""
+    return float(shared(tagged(shingles(words_of(a))), [tagged(shingles(words_of(b)))])[0])
 
 
 def signatures(bags: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
@@ -128,12 +141,12 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_KIND = pa.struct([("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+_KIND = pa.struct([("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("size", pa.int64())])
 
 
-@F.arrow_udf(StructType([StructField("bands", ArrayType(LongType())), StructField("signature", BinaryType())]))
+@F.arrow_udf(StructType([StructField("bands", ArrayType(LongType())), StructField("signature", BinaryType()), StructField("size", LongType())]))
 def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Band hashes and 16 bits of each register; null for a text without words."""
+    """Band hashes, 16 bits of each register and the bytes of the bag; null for a text without words."""
     for texts in batches:
         out: list[Any] = []
         texts = texts.to_pylist()
@@ -143,15 +156,34 @@ def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             with np.errstate(over="ignore"):
                 short = (_mix(registers.view(np.uint64)) >> _U(48)).astype(np.uint16)
             for bag, band, s in zip(bags, bands(registers), short, strict=True):
-                out.append({"bands": band, "signature": s.tobytes()} if len(bag) else None)
+                out.append({"bands": band, "signature": s.tobytes(), "size": 8 * len(bag)} if len(bag) else None)
         yield pa.array(out, _KIND)
 
 
+@F.arrow_udf(BinaryType())
+def bagged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Tagged bags of shingles, eight bytes for each shingle."""
+    for texts in batches:
+        yield pa.array([tagged(shingles(words_of(x.as_py()))).tobytes() for x in texts], pa.binary())
+
+
 @F.arrow_udf(DoubleType())
 def similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """``overlap`` of two columns of texts."""
+    """Weighted Jaccard index of two columns of bags."""
+    bag = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
     for a, b in batches:
-        yield pa.array([overlap(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
+        yield pa.array([float(shared(bag(x), [bag(y)])[0]) for x, y in zip(a, b, strict=True)], pa.float64())
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` joined with ``right`` (key, n, ...), one row for each key, which ``n`` rows of ``left`` have at most.
+
+    Keys that hold more than a HEAVY-th of the sum of n are at most HEAVY rows and broadcast; no other key is large.
+    """
+    total = right.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.col("n") * HEAVY > F.lit(total)
+    hot = F.broadcast(right.where(heavy))
+    return left.join(hot, key).unionByName(left.join(F.broadcast(right.where(heavy).select(key)), key, "left_anti").join(right.where(~heavy), key))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -177,55 +209,101 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose components differ."""
-    a, b = roots.select(F.col("id").alias("a"), F.col("root").alias("x")), roots.select(F.col("id").alias("b"), F.col("root").alias("y"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).drop("x", "y")
-
-
-def _across(nodes: DataFrame, roots: DataFrame, few: int | None) -> DataFrame:
-    """Pairs (a, b), a > b, that share a band, differ in their classes and are likely by their signatures.
+def _cells(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, x, y, id, root, bands, signature, block): the texts of every pair of blocks with pairs across classes.
 
-    few: only that many, the closest, of each text in each band; else all, each in the first band that both
-    share. Texts of a band's largest class meet those of the others only, never each other, so that
-    one large class costs a row for each of its texts and block of others.
+    Texts of a band's largest class meet those of the others only, never each other, so that one large class costs
+    a row for each of its texts and block of others.
     """
-    banded = nodes.select("id", F.explode("bands").alias("band"))
-    named = banded.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("major")).where("n > most and n > 2")
-    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.select("band", "major", in_blocks(F.col("most")).alias("most"), in_blocks(F.col("n") - F.col("most")).alias("rest"))
-    open_ = named.join(mixed, "band").join(nodes.select("id", "bands", "signature"), "id")
+    banded = nodes.select("id", F.explode("bands").alias("band"), F.col("size"))
+    named = settle(banded.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"), "size"), "named")
+    sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    by_band = sizes.groupBy("band").agg(
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"), F.max_by(F.struct("root", "bytes"), F.struct("n", "root")).alias("major")
+    )
+    in_blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    mixed = by_band.where("n > most").select(
+        "band",
+        "n",
+        F.col("major.root").alias("major"),
+        in_blocks(F.col("most"), F.col("major.bytes")).alias("most"),
+        in_blocks(F.col("n") - F.col("most"), F.col("bytes") - F.col("major.bytes")).alias("rest"),
+    )
+    open_ = _joined(named.drop("size"), settle(mixed, "mixed"), "band").drop("n").join(nodes.select("id", "bands", "signature"), "id")
     major, dealt_to = F.col("root") == F.col("major"), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     block = F.when(major, F.col("rest") + dealt_to(F.col("most"))).otherwise(dealt_to(F.col("rest")))
     others = F.sequence(F.lit(0), F.when(major, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
-    cells = F.transform(others, lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    dealt = open_.withColumn("block", block).select("band", "id", "root", "bands", "signature", "block", F.inline(cells))
-
-    def compared(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("id")
-        s = np.frombuffer(b"".join(cell["signature"]), np.uint16).reshape(len(cell), REGISTERS)
-        ids, own, part = (cell[c].to_numpy() for c in ("id", "root", "block"))
-        every = np.stack(list(cell["bands"]))
-        before = every[:, : int(np.flatnonzero(every[0] == cell["band"].iloc[0])[0])]
-        crossing = cell["x"].iloc[0] != cell["y"].iloc[0]
-        out = []
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    return open_.withColumn("block", block).select("band", "id", "root", "bands", "signature", "block", F.inline(pairs))
+
+
+def _likely(cell: pd.DataFrame) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """The ids of a cell's texts, and for each text (its row, rows before it that it likely resembles, agreement).
+
+    Only rows of other classes count, and only pairs whose first shared band this is: every pair is met in one cell.
+    """
+    s = np.frombuffer(b"".join(cell["signature"]), np.uint16).reshape(len(cell), REGISTERS)
+    own, part = cell["root"].to_numpy(), cell["block"].to_numpy()
+    every = np.stack(list(cell["bands"]))
+    before = every[:, : int(np.flatnonzero(every[0] == cell["band"].iloc[0])[0])]
+    crossing = cell["x"].iloc[0] != cell["y"].iloc[0]
+
+    def rows() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for i in range(1, len(cell)):
             other = own[:i] != own[i]
             if crossing:
                 other &= part[:i] != part[i]
             at = np.flatnonzero(other)
-            if few is None:
-                at = at[~(before[at] == before[i]).any(axis=1)]
             agree = (s[at] == s[i]).mean(axis=1)
             at, agree = at[agree >= LIKELY], agree[agree >= LIKELY]
-            if few is not None and len(at) > few:
-                at = at[np.argsort(-agree, kind="stable")[:few]]
-            out.append(np.column_stack([np.full(len(at), ids[i]), ids[at]]))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-    return dealt.groupBy("band", "x", "y").applyInPandas(compared, "a bigint, b bigint").distinct()
+            if len(at):
+                met = (before[at] == before[i]).any(axis=1)
+                at, agree = at[~met], agree[~met]
+            if len(at):
+                yield i, at, agree
+
+    return cell["id"].to_numpy(), rows()
+
+
+def _with_partner(cell: pd.DataFrame) -> pd.DataFrame:
+    """The cell's rows (band, x, y, id) that have a likely partner in another class."""
+    cell = cell.sort_values("id")
+    ids, rows = _likely(cell)
+    wanted = np.zeros(len(cell), bool)
+    for i, at, _ in rows:
+        wanted[i] = True
+        wanted[at] = True
+    return cell.loc[wanted, ["band", "x", "y", "id"]]
+
+
+def _linked(cell: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) of similar texts that join two classes of the cell: fewer than it has classes."""
+    cell = cell.sort_values("id")
+    ids, rows = _likely(cell)
+    bags = [np.frombuffer(b, np.uint64) for b in cell["bag"]]
+    sizes = np.array([len(b) for b in bags])
+    of = np.unique(cell["root"].to_numpy(), return_inverse=True)[1]
+    up = np.arange(of.max() + 1 if len(of) else 0)
+
+    def found(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return int(k)
+
+    links = []
+    for i, at, agree in rows:
+        # Of sizes whose ratio is below the threshold the index is, too.
+        near = np.minimum(sizes[at], sizes[i]) >= SIMILARITY * np.maximum(sizes[at], sizes[i])
+        at = at[near][np.argsort(-agree[near], kind="stable")]
+        while len(at):
+            mine = found(of[i])
+            at = at[[found(of[j]) != mine for j in at]]
+            now, at = at[:AT_ONCE], at[AT_ONCE:]
+            for j in now[shared(bags[i], [bags[j] for j in now]) >= SIMILARITY]:
+                if found(of[i]) != found(of[j]):
+                    up[found(of[i])] = found(of[j])
+                    links.append((ids[i], ids[j]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -235,35 +313,32 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keyed = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("key"), F.col(text).alias("text"))
-    nodes = keyed.select("key", signed("text").alias("s")).where("s is not null").groupBy("key").agg(F.first("s").alias("s"))
-    nodes = settle(nodes.select("key", F.monotonically_increasing_id().alias("id"), "s.bands", "s.signature"), "nodes")
+    signs = keyed.select("key", signed("text").alias("s")).where("s is not null").groupBy("key").agg(F.first("s").alias("s"))
+    nodes = settle(signs.select("key", F.monotonically_increasing_id().alias("id"), "s.bands", "s.signature", "s.size"), "nodes")
     banded = nodes.select("id", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
-    stars = banded.join(centres, "band").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"))
-    pairs = settle(stars, "stars")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = nodes.join(ids, "id").select("key", "id")
+    centres = settle(banded.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "centres")
+    met = _joined(banded, centres, "band").select("id", "b", "n")
+    best = met.groupBy("id", "b").agg(F.count("*").alias("bands"), F.max("n").alias("n"))
+    best = best.groupBy(F.col("id").alias("a")).agg(F.max_by(F.struct("b", "n"), F.struct("bands", -F.col("b"))).alias("x")).select("a", "x.b", "x.n")
+    best = settle(best, "best")  # of every text that shares a band, centres too
     # Copies are reduced to one before the exchange, which serves the join too.
-    texts = settle(keyed.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("id", "text"), "texts")
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return settle(candidates.select("a", "b").join(a, "a").join(b, "b").select("a", "b", similarity("ta", "tb").alias("similarity")), "tried").where(F.col("similarity") >= SIMILARITY)
-
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    best = settle(best, "best")
-    links = verified(best)
-    roots = components(links)
-    rest = _rooted(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
-    links = links.unionByName(verified(rest))
+    wanted = nodes.join(best.select(F.col("a").alias("id")), "id").select("key", "id")
+    bags = settle(keyed.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("id", bagged("text").alias("bag")), "bags")
+
+    # A centre's bag is met by the texts in as many parts as they fill blocks.
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    pairs = best.where("a <> b").withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int"))
+    spread = pairs.groupBy("b").agg(F.max(parts).alias("parts")).join(bags.withColumnRenamed("id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("bag").alias("bag_b"))
+    tried = pairs.join(bags.withColumnRenamed("id", "a"), "a").join(spread, ["b", "part"]).select("a", "b", similarity("bag", "bag_b").alias("similarity"))
+    links = settle(tried.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
     roots = components(links)
 
-    tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    for few in (CLOSEST, None):
-        late = settle(_across(nodes, roots, few).join(tried, ["a", "b"], "left_anti"), "late")
-        links = links.unionByName(verified(late))
-        roots = components(links)
-        tried = tried.unionByName(late)
+    cells = settle(_cells(nodes, roots), "cells")
+    at = ["band", "x", "y"]
+    partners = settle(cells.groupBy(*at).applyInPandas(_with_partner, "band bigint, x int, y int, id bigint"), "partners")
+    likely = cells.join(partners, [*at, "id"]).join(bags, "id")
+    late = likely.groupBy(*at).applyInPandas(_linked, "a bigint, b bigint")
+    roots = components(settle(links.unionByName(late), "links"))
     names = nodes.select("id", "key")
     of = names.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("root"))
     return of.join(names.select(F.col("id").alias("root"), F.col("key").alias("root_key")), "root").select("key", "root_key")
@@ -276,12 +351,17 @@ def grouped(docs: DataFrame) -> DataFrame:
     empty) is in no class: class_key is null and class_id its own doc_id. A class without any doc_id has a null class_id.
     """
     found = settle(classes(docs), "classes")
-    keyed = docs.drop("class_id", "class_key").withColumn("__key", F.md5(F.col("text").cast("binary")))
-    least = keyed.select("__key", "doc_id").groupBy("__key").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("key", "__key"), "__key")
-    named = least.groupBy("root_key").agg(F.min("least").alias("class_id"))
-    of = settle(found.join(named, "root_key").select(F.col("key").alias("__key"), "class_id", F.col("root_key").alias("class_key")), "named")
-    out = keyed.join(of, "__key", "left").withColumn("class_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
-    return out.drop("__key")
+    names = docs.drop("class_id", "class_key").columns
+    keyed = docs.select(*names, F.md5(F.col("text").cast("binary")).alias("__key"))
+    own = keyed.where("__key is not null").groupBy("__key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    own = settle(own.join(found.withColumnRenamed("key", "__key"), "__key", "left"), "least")
+    named = settle(own.where("root_key is not null").groupBy("root_key").agg(F.min("least").alias("class_id"), F.count("*").alias("n")), "named")
+    in_class = _joined(own.where("root_key is not null"), named, "root_key").select("__key", "rows", "class_id", F.col("root_key").alias("class_key"))
+    alone = F.lit(None).cast("bigint").alias("class_id"), F.lit(None).cast("string").alias("class_key")
+    of = settle(in_class.unionByName(own.where("root_key is null").select("__key", "rows", *alone)).withColumnRenamed("rows", "n"), "of")
+    out = _joined(keyed.where("__key is not null"), of, "__key").select(*names, "class_id", "class_key")
+    out = out.unionByName(keyed.where("__key is null").select(*names, *alone))
+    return out.withColumn("class_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
 
 
 def unique(docs: DataFrame) -> DataFrame:
