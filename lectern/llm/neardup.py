@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from lectern.llm.common import WORD, ascii_lower, settle, slices, small_batches
 from lectern.llm.decontamination import grams, word_hashes, words_of
@@ -131,33 +131,27 @@ def signatures(bags: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     return registers.reshape(len(bags), m)
 
 
-def bands(registers: np.ndarray) -> np.ndarray:
-    """A hash for each band of registers, different between bands."""
-    bits = registers.view(np.uint64).reshape(len(registers), BANDS, ROWS)
-    with np.errstate(over="ignore"):
-        out = np.broadcast_to((np.arange(1, BANDS + 1).astype(_U) * _U(_SILVER))[None, :], bits.shape[:2]).copy()
-        for k in range(ROWS):
-            out = _mix(out * _U(_GOLDEN) + bits[:, :, k])
-    return out.view(np.int64)
-
-
-_KIND = pa.struct([("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("size", pa.int64())])
+_SIGNED = pa.struct([("signature", pa.binary()), ("size", pa.int64())])
 
 
-@F.arrow_udf(StructType([StructField("bands", ArrayType(LongType())), StructField("signature", BinaryType()), StructField("size", LongType())]))
+@F.arrow_udf(StructType([StructField("signature", BinaryType()), StructField("size", LongType())]))
 def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Band hashes, 16 bits of each register and the bytes of the bag; null for a text without words."""
+    """16 bits of each register, and the bytes of the bag; null for a text without words."""
     for texts in batches:
         out: list[Any] = []
         texts = texts.to_pylist()
         for start, end in slices(texts):
             bags = [shingles(words_of(x)) for x in texts[start:end]]
-            registers = signatures(bags)
             with np.errstate(over="ignore"):
-                short = (_mix(registers.view(np.uint64)) >> _U(48)).astype(np.uint16)
-            for bag, band, s in zip(bags, bands(registers), short, strict=True):
-                out.append({"bands": band, "signature": s.tobytes(), "size": 8 * len(bag)} if len(bag) else None)
-        yield pa.array(out, _KIND)
+                short = (_mix(signatures(bags).view(np.uint64)) >> _U(48)).astype(np.uint16)
+            out += [{"signature": s.tobytes(), "size": 8 * len(bag)} if len(bag) else None for bag, s in zip(bags, short, strict=True)]
+        yield pa.array(out, _SIGNED)
+
+
+def banded(nodes: DataFrame, *columns: str) -> DataFrame:
+    """The columns, one row for each band of the signature, with ``band``: a hash of its number and registers."""
+    own = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    return nodes.select(*columns, F.posexplode(own).alias("number", "band"))
 
 
 @F.arrow_udf(BinaryType())
@@ -210,13 +204,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _cells(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, x, y, id, root, bands, signature, block): the texts of every pair of blocks with pairs across classes.
+    """(band, number, x, y, id, root, signature, block): the texts of every pair of blocks with pairs across classes.
 
     Texts of a band's largest class meet those of the others only, never each other, so that one large class costs
     a row for each of its texts and block of others.
     """
-    banded = nodes.select("id", F.explode("bands").alias("band"), F.col("size"))
-    named = settle(banded.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"), "size"), "named")
+    named = nodes.select("id", "signature", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = banded(named, "id", "root", "size")
     sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     by_band = sizes.groupBy("band").agg(
         F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"), F.max_by(F.struct("root", "bytes"), F.struct("n", "root")).alias("major")
@@ -229,12 +223,12 @@ def _cells(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         in_blocks(F.col("most"), F.col("major.bytes")).alias("most"),
         in_blocks(F.col("n") - F.col("most"), F.col("bytes") - F.col("major.bytes")).alias("rest"),
     )
-    open_ = _joined(named.drop("size"), settle(mixed, "mixed"), "band").drop("n").join(nodes.select("id", "bands", "signature"), "id")
+    open_ = _joined(named.drop("size"), settle(mixed, "mixed"), "band").drop("n").join(nodes.select("id", "signature"), "id")
     major, dealt_to = F.col("root") == F.col("major"), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     block = F.when(major, F.col("rest") + dealt_to(F.col("most"))).otherwise(dealt_to(F.col("rest")))
     others = F.sequence(F.lit(0), F.when(major, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
     pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    return open_.withColumn("block", block).select("band", "id", "root", "bands", "signature", "block", F.inline(pairs))
+    return open_.withColumn("block", block).select("band", "number", "id", "root", "signature", "block", F.inline(pairs))
 
 
 def _likely(cell: pd.DataFrame) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
@@ -244,8 +238,7 @@ def _likely(cell: pd.DataFrame) -> tuple[np.ndarray, Iterator[tuple[int, np.ndar
     """
     s = np.frombuffer(b"".join(cell["signature"]), np.uint16).reshape(len(cell), REGISTERS)
     own, part = cell["root"].to_numpy(), cell["block"].to_numpy()
-    every = np.stack(list(cell["bands"]))
-    before = every[:, : int(np.flatnonzero(every[0] == cell["band"].iloc[0])[0])]
+    before = s.reshape(len(cell), BANDS, ROWS)[:, : int(cell["number"].iloc[0])]
     crossing = cell["x"].iloc[0] != cell["y"].iloc[0]
 
     def rows() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -257,7 +250,7 @@ def _likely(cell: pd.DataFrame) -> tuple[np.ndarray, Iterator[tuple[int, np.ndar
             agree = (s[at] == s[i]).mean(axis=1)
             at, agree = at[agree >= LIKELY], agree[agree >= LIKELY]
             if len(at):
-                met = (before[at] == before[i]).any(axis=1)
+                met = (before[at] == before[i]).all(axis=2).any(axis=1)
                 at, agree = at[~met], agree[~met]
             if len(at):
                 yield i, at, agree
@@ -314,12 +307,10 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     keyed = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("key"), F.col(text).alias("text"))
     signs = keyed.select("key", signed("text").alias("s")).where("s is not null").groupBy("key").agg(F.first("s").alias("s"))
-    nodes = settle(signs.select("key", F.monotonically_increasing_id().alias("id"), "s.bands", "s.signature", "s.size"), "nodes")
-    banded = nodes.select("id", F.explode("bands").alias("band"))
-    centres = settle(banded.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "centres")
-    met = _joined(banded, centres, "band").select("id", "b", "n")
-    best = met.groupBy("id", "b").agg(F.count("*").alias("bands"), F.max("n").alias("n"))
-    best = best.groupBy(F.col("id").alias("a")).agg(F.max_by(F.struct("b", "n"), F.struct("bands", -F.col("b"))).alias("x")).select("a", "x.b", "x.n")
+    nodes = settle(signs.select("key", F.monotonically_increasing_id().alias("id"), "s.signature", "s.size"), "nodes")
+    centres = settle(banded(nodes, "id").groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "centres")
+    met = _joined(banded(nodes, "id"), centres, "band").groupBy("id", "b").agg(F.count("*").alias("bands"), F.max("n").alias("n"))
+    best = met.groupBy(F.col("id").alias("a")).agg(F.max_by(F.struct("b", "n"), F.struct("bands", -F.col("b"))).alias("x")).select("a", "x.b", "x.n")
     best = settle(best, "best")  # of every text that shares a band, centres too
     # Copies are reduced to one before the exchange, which serves the join too.
     wanted = nodes.join(best.select(F.col("a").alias("id")), "id").select("key", "id")
