@@ -36,19 +36,27 @@ REMEMBERED = 100_000
 
 _U = np.uint64
 _words = re.compile(WORD)
-_known: dict[str, int] = {}
 
 
 def words_of(text: str | None) -> list[str]:
     return _words.findall(plain_lower(text or ""))
 
 
+class _Hashes(dict[str, int]):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_known = _Hashes()
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of words."""
     if len(_known) > REMEMBERED:
         _known.clear()
-    for w in {w for w in words if w not in _known}:
-        _known[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 

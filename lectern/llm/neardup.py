@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +38,6 @@ LIKELY = 0.66
 BLOCK, BLOCK_BYTES = 1024, 32 << 20
 #: A key that holds more than one row in so many is joined by broadcast, of at most so many rows; the others by a shuffle.
 HEAVY = 1000
-#: Partners that are verified at once; before the next ones, those that are in one class by then are left out.
-AT_ONCE = 64
 
 _U = np.uint64
 _GOLDEN, _SILVER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -231,72 +228,96 @@ def _cells(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return open_.withColumn("block", block).select("band", "number", "id", "root", "signature", "block", F.inline(pairs))
 
 
-def _likely(cell: pd.DataFrame) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
-    """The ids of a cell's texts, and for each text (its row, rows before it that it likely resembles, agreement).
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Runs of whole cells of a partition sorted by cell, with the number of each row's cell within the run.
 
-    Only rows of other classes count, and only pairs whose first shared band this is: every pair is met in one cell.
+    Held at a time: the rows of one batch and of one cell.
     """
-    s = np.frombuffer(b"".join(cell["signature"]), np.uint16).reshape(len(cell), REGISTERS)
-    own, part = cell["root"].to_numpy(), cell["block"].to_numpy()
-    before = s.reshape(len(cell), BANDS, ROWS)[:, : int(cell["number"].iloc[0])]
-    crossing = cell["x"].iloc[0] != cell["y"].iloc[0]
-
-    def rows() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for i in range(1, len(cell)):
-            other = own[:i] != own[i]
-            if crossing:
-                other &= part[:i] != part[i]
-            at = np.flatnonzero(other)
-            agree = (s[at] == s[i]).mean(axis=1)
-            at, agree = at[agree >= LIKELY], agree[agree >= LIKELY]
-            if len(at):
-                met = (before[at] == before[i]).all(axis=2).any(axis=1)
-                at, agree = at[~met], agree[~met]
-            if len(at):
-                yield i, at, agree
-
-    return cell["id"].to_numpy(), rows()
-
-
-def _with_partner(cell: pd.DataFrame) -> pd.DataFrame:
-    """The cell's rows (band, x, y, id) that have a likely partner in another class."""
-    cell = cell.sort_values("id")
-    ids, rows = _likely(cell)
-    wanted = np.zeros(len(cell), bool)
-    for i, at, _ in rows:
-        wanted[i] = True
-        wanted[at] = True
-    return cell.loc[wanted, ["band", "x", "y", "id"]]
-
-
-def _linked(cell: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) of similar texts that join two classes of the cell: fewer than it has classes."""
-    cell = cell.sort_values("id")
-    ids, rows = _likely(cell)
-    bags = [np.frombuffer(b, np.uint64) for b in cell["bag"]]
-    sizes = np.array([len(b) for b in bags])
-    of = np.unique(cell["root"].to_numpy(), return_inverse=True)[1]
-    up = np.arange(of.max() + 1 if len(of) else 0)
-
-    def found(k: int) -> int:
-        while up[k] != k:
-            up[k] = k = up[up[k]]
-        return int(k)
-
-    links = []
-    for i, at, agree in rows:
-        # Of sizes whose ratio is below the threshold the index is, too.
-        near = np.minimum(sizes[at], sizes[i]) >= SIMILARITY * np.maximum(sizes[at], sizes[i])
-        at = at[near][np.argsort(-agree[near], kind="stable")]
-        while len(at):
-            mine = found(of[i])
-            at = at[[found(of[j]) != mine for j in at]]
-            now, at = at[:AT_ONCE], at[AT_ONCE:]
-            for j in now[shared(bags[i], [bags[j] for j in now]) >= SIMILARITY]:
-                if found(of[i]) != found(of[j]):
-                    up[found(of[i])] = found(of[j])
-                    links.append((ids[i], ids[j]))
-    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+    held: list[pa.RecordBatch] = []
+
+    def numbers(rows: pa.Table) -> np.ndarray:
+        at = np.stack([rows[c].to_numpy() for c in ("band", "x", "y")])
+        return np.cumsum(np.r_[False, (at[:, 1:] != at[:, :-1]).any(axis=0)])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            cell = numbers(rows)
+            end = int(np.searchsorted(cell, cell[-1]))
+            if end:
+                yield rows.slice(0, end), cell[:end]
+                held = rows.slice(end).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, numbers(rows)
+
+
+def _likely(rows: pa.Table, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, agreement): rows of one cell, but of two classes, that likely resemble each other, i < j.
+
+    Only pairs whose first shared band this is: every pair is met in one cell. Every row is compared with the next
+    one of its cell, then with the one after that, and so on, all rows at once.
+    """
+    s = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(len(cell), REGISTERS)
+    own, part, number = (rows[c].to_numpy() for c in ("root", "block", "number"))
+    crossing = rows["x"].to_numpy() != rows["y"].to_numpy()
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    i = np.arange(len(cell))
+    for step in range(1, len(cell)):
+        i = i[: np.searchsorted(i, len(cell) - step)]
+        i = i[cell[i] == cell[i + step]]  # a row that has no such follower has none further on
+        if not len(i):
+            break
+        a = i[(own[i] != own[i + step]) & ~(crossing[i] & (part[i] == part[i + step]))]
+        b = a + step
+        agree = (s[a] == s[b]).mean(axis=1)
+        likely = agree >= LIKELY
+        a, b, agree = a[likely], b[likely], agree[likely]
+        if len(a):
+            same = (s[a].reshape(-1, BANDS, ROWS) == s[b].reshape(-1, BANDS, ROWS)).all(axis=2)
+            first = same.argmax(axis=1) == number[a]
+            found.append((a[first], b[first], agree[first]))
+    a, b, agree = map(np.concatenate, zip(*found, strict=True))
+    return a, b, agree
+
+
+_PLACE = pa.schema([("band", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("id", pa.int64())])
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places (band, x, y, id) of texts that have a likely partner of another class in their cell."""
+    for rows, cell in _whole_cells(batches):
+        a, b, _ = _likely(rows, cell)
+        yield from rows.select(_PLACE.names).take(pa.array(np.union1d(a, b))).cast(_PLACE).to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of similar texts that join two classes of a cell: fewer than the cell has classes."""
+    for rows, cell in _whole_cells(batches):
+        a, b, agree = _likely(rows, cell)
+        bags = [np.frombuffer(x, np.uint64) for x in rows["bag"].to_pylist()]
+        ids = rows["id"].to_numpy()
+        of = np.unique(np.stack([cell, rows["root"].to_numpy()]), axis=1, return_inverse=True)[1].reshape(-1)
+        up = list(range(len(cell)))
+
+        def found(k: int, up: list[int] = up) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        links = []
+        for k in np.argsort(-agree, kind="stable").tolist():
+            i, j = int(a[k]), int(b[k])
+            x, y = found(int(of[i])), found(int(of[j]))
+            small, large = sorted((bags[i], bags[j]), key=len)
+            # Of sizes whose ratio is below the threshold the index is, too.
+            if x != y and len(small) >= SIMILARITY * len(large) and shared(large, [small])[0] >= SIMILARITY:
+                up[x] = y
+                links.append((ids[i], ids[j]))
+        if links:
+            one, other = zip(*links, strict=True)
+            yield pa.record_batch({"a": pa.array(one, pa.int64()), "b": pa.array(other, pa.int64())})
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -326,9 +347,10 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
     cells = settle(_cells(nodes, roots), "cells")
     at = ["band", "x", "y"]
-    partners = settle(cells.groupBy(*at).applyInPandas(_with_partner, "band bigint, x int, y int, id bigint"), "partners")
+    together = lambda df: df.repartition(*at).sortWithinPartitions(*at, "id")
+    partners = settle(together(cells).mapInArrow(_with_partner, "band bigint, x int, y int, id bigint"), "partners")
     likely = cells.join(partners, [*at, "id"]).join(bags, "id")
-    late = likely.groupBy(*at).applyInPandas(_linked, "a bigint, b bigint")
+    late = together(likely).mapInArrow(_linked, "a bigint, b bigint")
     roots = components(settle(links.unionByName(late), "links"))
     names = nodes.select("id", "key")
     of = names.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("root"))
