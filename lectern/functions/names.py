@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +13,23 @@ from lectern.functions.patterns import WS
 from lectern.functions.text import replace, strip
 
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X"]
-#: Letters that lose their marks one by one; on the right what they become.
-MARKED = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻàâäáãåèéêëìíîïòôöõøùúûüçñýÀÂÄÁÃÅÈÉÊËÌÍÎÏÒÔÖÕØÙÚÛÜÇÑÝđĐ"
-PLAIN = "acelnoszzACELNOSZZaaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNYdD"
+#: Letters without a decomposition and what they become: fixed values of the behaviour to be matched.
+SPECIAL = {"ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ø": "o", "Ø": "O", "ß": "ss"}
+
+
+@cache
+def plain_letters() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition has other characters in ASCII or white space than they have: those that become one, and those that become more."""
+    one, more = {}, {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        parts = SPECIAL.get(c) or unicodedata.normalize("NFKD", c)
+        if parts != c:
+            kept = "".join(x for x in parts if x.isspace() or (x.isascii() and x.isalnum()))
+            if len(kept) == 1:
+                one[c] = kept
+            elif kept:
+                more[c] = kept
+    return one, more
 
 
 def truthy(text: Column) -> Column:
@@ -24,10 +42,15 @@ def sanitize_filename(name: Column) -> Column:
 
 
 def camel_ascii(name: Column) -> Column:
-    """Pascal case in ASCII letters and digits; marks fall away."""
-    plain = F.replace(F.translate(name, MARKED, PLAIN), F.lit("ß"), F.lit("ss"))
-    parts = F.filter(F.split(replace(plain, r"[^a-zA-Z0-9\s]", ""), r"\s+"), lambda x: x != "")
-    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))), "")
+    """Pascal case in ASCII letters and digits; marks fall away, ligatures and the like are taken apart."""
+    one, more = plain_letters()
+    keys, values = F.array(*map(F.lit, more)), F.array(*map(F.lit, more.values()))
+    apart = F.array_join(F.transform(F.split(name, ""), lambda c: F.coalesce(F.get(values, F.array_position(keys, c).cast("int") - 1), c)), "")
+    # Few texts have a character that becomes more than one.
+    whole = F.when(name.rlike(f"[{''.join(more)}]"), apart).otherwise(name)
+    plain = F.translate(whole, "".join(one), "".join(one.values()))
+    words = F.filter(F.split(replace(plain, rf"(?![a-zA-Z0-9]|{WS})[\s\S]", ""), rf"{WS}+"), lambda x: x != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 2**31 - 2)))), "")
 
 
 def mp3_filename(tom: Column, number: Column, series: Column, title: Column, author: Column, fmt: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from lectern.functions.patterns import CONTROL, END, FEMININE, HEADING_PAUSE, MA
 
 replace = F.regexp_replace
 
+#: Digits that are no decimal digits of a script.
+OTHER_DIGITS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit() and not c.isdecimal())
+
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
@@ -96,6 +101,6 @@ def word_count(text: Column) -> Column:
 
 
 def digit_ratio(text: Column) -> Column:
-    """Share of ASCII digits; of an empty text 0."""
-    digits = F.length(replace(text, "[^0-9]", ""))
+    """Share of digits, of any script and also raised, lowered or circled; of an empty text 0."""
+    digits = F.length(replace(text, rf"[^\p{{Nd}}{OTHER_DIGITS}]", ""))
     return F.when(F.length(text) > 0, digits / F.length(text)).otherwise(F.lit(0.0))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +37,55 @@ def html_strip(html: Column) -> Column:
     return replace(replace(html, r"(?s)<!--.*?-->", ""), "<[^>]*>", " ")
 
 
+class _Kept(HTMLParser):
+    """Texts outside removed elements; an end tag closes the last open element of its name, if there is one."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, bool]] = []
+        self.texts: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        named = any(k in ("class", "id") and v and _caption.search(v) for k, v in attrs)
+        if tag not in VOID:
+            self.open.append((tag, tag in REMOVED or named or bool(self.open and self.open[-1][1])))
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        return
+
+    def handle_endtag(self, tag: str) -> None:
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        if not (self.open and self.open[-1][1]):
+            self.texts.append(data)
+
+
+REMOVED = ("script", "style", "nav", "sup", "figure", "figcaption", "img", "svg", "picture")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+_caption = re.compile(r"caption|image[-_]?desc|photo[-_]?credit|ilustracja|opis[-_]?zdj|podpis", re.I)
+
+
+def html_strip_exact(html: Column) -> Column:
+    """``html_strip`` by a parser: elements go with all that is nested in them, references are decoded, texts are joined by spaces. Null stays null."""
+
+    @F.arrow_udf("string")
+    def strip_(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            out = []
+            for page in pages.to_pylist():
+                kept = _Kept()
+                if page is not None:
+                    kept.feed(page)
+                    kept.close()
+                out.append(None if page is None else " ".join(kept.texts))
+            yield pa.array(out, pa.string())
+
+    return strip_(html)
+
+
 def extract_document(html: Column) -> Column:
     """The chain from a document's markup to its text, in the order in which the steps depend on each other."""
     text = T.clean_text(html_strip(T.heading_markers(T.drop_cap(html))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -63,25 +63,48 @@ def pack_chunks(parts: Column, size: int = SIZE, most_words: int = WORDS) -> Col
     return F.filter(done, lambda c: F.length(c) >= LEAST)
 
 
-def chunks(chapters: DataFrame, size: int = SIZE, content: str = "content") -> DataFrame:
-    """One row for each chunk: ``chapters`` without the content, with chunk_idx and chunk."""
+def _packed(chapters: DataFrame, size: int, content: str) -> DataFrame:
+    """``chapters`` without the content, with ``packed``: the array of its chunks, made once for each row."""
     packed = pack_chunks(merge_abbrev(sentences(F.col(content))), size)
     kept = [c for c in chapters.columns if c != content]
-    return chapters.select(*kept, F.posexplode(packed).alias("chunk_idx", "chunk"))
+    return chapters.select(*kept, F.inline(F.array(F.struct(packed.alias("packed")))))
+
+
+def chunks(chapters: DataFrame, size: int = SIZE, content: str = "content") -> DataFrame:
+    """One row for each chunk: ``chapters`` without the content, with chunk_idx and chunk."""
+    df = _packed(chapters, size, content)
+    return df.select(*df.drop("packed").columns, F.posexplode("packed").alias("chunk_idx", "chunk"))
 
 
-def pauses(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` (keys, chunk_idx, chunk) with spoken text and pause_ms after it.
+def _paused(chunk: Column, following: Column) -> Column:
+    """struct(pause_ms, spoken) of a chunk, by its own marks and the chunk after it.
 
     A heading mark gives the longer pause, else a quote mark the shorter; before a chunk that ends a quote there
-    are 1,500 ms at least. Chunks that are too short without their marks go.
+    are 1,500 ms at least.
+    """
+    own = F.when(F.contains(chunk, F.lit(HEADING_PAUSE)), HEADING_MS).when(F.contains(chunk, F.lit(QUOTE_PAUSE)), QUOTE_MS).otherwise(0)
+    before_end = F.coalesce(F.contains(following, F.lit("Koniec cytatu")), F.lit(False))
+    bare = strip(F.replace(F.replace(chunk, F.lit(HEADING_PAUSE), F.lit("")), F.lit(QUOTE_PAUSE), F.lit("")))
+    return F.struct(F.when(before_end, F.greatest(own, F.lit(QUOTE_END_MS))).otherwise(own).alias("pause_ms"), bare.alias("spoken"))
+
+
+def _spoken(packed: Column) -> Column:
+    """array of struct(chunk_idx, chunk, pause_ms, spoken); chunks that are too short without their marks go."""
+
+    def one(chunk: Column, i: Column) -> Column:
+        own = _paused(chunk, F.get(packed, i + 1))
+        return F.struct(i.alias("chunk_idx"), chunk.alias("chunk"), own["pause_ms"].alias("pause_ms"), own["spoken"].alias("spoken"))
+
+    return F.filter(F.transform(packed, one), lambda x: F.length(x["spoken"]) >= LEAST)
+
+
+def pauses(chapters: DataFrame, size: int = SIZE, content: str = "content") -> DataFrame:
+    """One row for each chunk as in ``chunks``, with its spoken text and pause_ms after it.
+
+    The chunk after it stands in the same array, so nothing is dealt out or sorted.
     """
-    order = Window.partitionBy(*keys).orderBy("chunk_idx")
-    own = F.when(F.contains("chunk", F.lit(HEADING_PAUSE)), HEADING_MS).when(F.contains("chunk", F.lit(QUOTE_PAUSE)), QUOTE_MS).otherwise(0)
-    before_end = F.coalesce(F.contains(F.lead("chunk").over(order), F.lit("Koniec cytatu")), F.lit(False))
-    bare = strip(F.replace(F.replace(F.col("chunk"), F.lit(HEADING_PAUSE), F.lit("")), F.lit(QUOTE_PAUSE), F.lit("")))
-    df = df.withColumn("pause_ms", F.when(before_end, F.greatest(own, F.lit(QUOTE_END_MS))).otherwise(own)).withColumn("spoken", bare)
-    return df.where(F.length("spoken") >= LEAST)
+    df = _packed(chapters, size, content)
+    return df.select(*df.drop("packed").columns, F.inline(_spoken(F.col("packed"))))
 
 
 def synth_params(text: Column, speed: Column) -> Column:
@@ -102,10 +125,8 @@ def segment_plan(chapters: DataFrame, size: int = SIZE) -> DataFrame:
     seq, spoken, pause_before_ms, pause_after_ms and the synthesis parameters.
     """
     parted = chapters.select("book_id", "chapter_idx", F.inline(F.array(separate_heading(F.col("content")))))
-    body = pauses(chunks(parted, size, "body"), ["book_id", "chapter_idx"])
-    rows = body.select("book_id", "chapter_idx", F.col("chunk_idx").alias("seq"), "spoken", F.lit(0).alias("pause_before_ms"), F.col("pause_ms").alias("pause_after_ms"))
-    heads = parted.where("heading is not null").select(
-        "book_id", "chapter_idx", F.lit(-1).alias("seq"), F.col("heading").alias("spoken"), F.lit(TITLE_MS).alias("pause_before_ms"), F.lit(TITLE_MS).alias("pause_after_ms")
-    )
-    return heads.unionByName(rows).withColumn("spoken", T.ensure_terminal_punct(F.col("spoken"))).select("*", synth_params(F.col("spoken"), F.lit(1.0)).alias("p")).select("*", "p.*").drop("p")
-
+    row = lambda seq, text, before, after: F.struct(seq.cast("int").alias("seq"), text.alias("spoken"), before.alias("pause_before_ms"), after.alias("pause_after_ms"))
+    head = F.when(F.col("heading").isNotNull(), F.array(row(F.lit(-1), F.col("heading"), F.lit(TITLE_MS), F.lit(TITLE_MS)))).otherwise(F.array())
+    body = F.transform(_spoken(F.col("packed")), lambda x: row(x["chunk_idx"], x["spoken"], F.lit(0), x["pause_ms"]))
+    rows = _packed(parted, size, "body").select("book_id", "chapter_idx", F.inline(F.concat(head, body)))
+    return rows.withColumn("spoken", T.ensure_terminal_punct(F.col("spoken"))).select("*", synth_params(F.col("spoken"), F.lit(1.0)).alias("p")).select("*", "p.*").drop("p")

@@ -80,3 +80,16 @@ def valid_arguments(n_inputs: Column, speed: Column, slug: Column, tom: Column)
 def last_lines(lines: DataFrame, n: int) -> DataFrame:
     """The n lines with the largest line_no; a top-k, no sort of the whole log."""
     return lines.orderBy(F.desc("line_no")).limit(n)
+
+
+def command(fixed: list[str], options: dict[str, Column], flags: dict[str, Column]) -> Column:
+    """array of a command's words: the fixed ones, each option with its value unless that is null or empty, each flag that is true."""
+    parts = [F.array(*map(F.lit, fixed))]
+    parts += [F.when(F.coalesce(value, F.lit("")) != "", F.array(F.lit(name), value)).otherwise(F.array()) for name, value in options.items()]
+    parts += [F.when(value, F.array(F.lit(name))).otherwise(F.array()) for name, value in flags.items()]
+    return F.concat(*parts)
+
+
+def dated(name: Column, day: Column | None = None) -> Column:
+    """``{name}_{year-month-day}``; of today, in the session's time zone, if no day is given."""
+    return F.concat(name, F.lit("_"), F.date_format(F.current_date() if day is None else day, "yyyy-MM-dd"))

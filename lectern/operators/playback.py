@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 RESUME = "struct<slug:string,chapterIndex:int,currentTime:double>"
 
@@ -35,16 +40,39 @@ def latest(events: DataFrame, key: str, order: list[str], values: list[str]) ->
     return events.groupBy(key).agg(last.alias("x")).select(key, "x.*")
 
 
-def transitions(events: DataFrame, key: str, order: list[str], chapters: int) -> DataFrame:
-    """The chapter after each event (kind, at) of a key's player: "ended" and "next" go on, "prev" goes back or,
-    after five seconds, to the chapter's start; after the last chapter the next book's first comes.
+def transitions(events: DataFrame, key: str, order: list[str], chapters: list[int]) -> DataFrame:
+    """``events`` with the book and chapter that a key's player is at after each event (kind, at).
+
+    chapters: the number of chapters of each book of the catalogue, in its order. "ended" and "next" go on, after a
+    book's last chapter to the next book's first, and stay at the end of the last book. "prev" goes to the
+    chapter before, but from a book's first chapter, or after five seconds, only to the chapter's own start.
+    A player starts at the first chapter of the first book.
 
-    Every event shifts the chapter by a fixed step, so the state is a running sum: no fold over rows.
+    What an event does depends on where the player is, so each key is folded in order: partitions are sorted and
+    read once, and only the place of the key at hand is held.
     """
-    step = F.when(F.col("kind").isin("ended", "next"), 1).when((F.col("kind") == "prev") & (F.col("at") <= 5), -1).otherwise(0)
-    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    place = F.sum(step).over(so_far)
-    return events.withColumn("place", place).withColumn("book", F.floor(F.col("place") / chapters)).withColumn("chapter", F.pmod("place", F.lit(chapters))).drop("place")
+    places = [(b, c) for b, n in enumerate(chapters) for c in range(n)]
+    if not places:
+        raise ValueError("a catalogue without chapters has nothing to play")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Any = None
+        place = 0
+        for batch in batches:
+            book, chapter = [], []
+            for who, kind, at in zip(*(batch[c].to_pylist() for c in (key, "kind", "at")), strict=True):
+                if who != now:
+                    now, place = who, 0
+                if kind in ("ended", "next"):
+                    place = min(place + 1, len(places) - 1)
+                elif kind == "prev" and at is not None and at <= 5 and places[place][1]:
+                    place -= 1
+                book.append(places[place][0])
+                chapter.append(places[place][1])
+            yield batch.append_column("book", pa.array(book, pa.int64())).append_column("chapter", pa.array(chapter, pa.int64()))
+
+    schema = StructType([*events.schema.fields, StructField("book", LongType()), StructField("chapter", LongType())])
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, schema)
 
 
 def changes(events: DataFrame, key: str, order: list[str], watched: list[str]) -> DataFrame:

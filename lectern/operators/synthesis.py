@@ -9,6 +9,11 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+#: A text of so many characters or fewer isn't cut.
+SHORTEST = 20
+_PART = StructType([StructField("audio_key", StringType()), StructField("duration_ms", LongType())])
 
 
 class TooLong(Exception):
@@ -33,23 +38,25 @@ class StubSynthesizer:
         return hashlib.md5(text.encode()).hexdigest(), 60 * len(text)
 
 
-def halves(text: str, fits: Callable[[str], bool]) -> list[str]:
-    """The text, cut in two at a space, and its parts again, until every part fits.
-
-    The space is the last before the middle, else the first after it; a part without one stays as it is.
-    """
-    if fits(text):
-        return [text]
+def cut(text: str) -> list[str] | None:
+    """The text in two, at the last space before its middle, else the first after it; null if there is none. Blank parts go."""
     middle = len(text) // 2
     at = text.rfind(" ", 0, middle)
-    if at <= 0:
+    if at < 0:
         at = text.find(" ", middle)
-    if at <= 0:
+    if at < 0:
+        return None
+    return [part for part in (text[:at].strip(), text[at:].strip()) if part]
+
+
+def halves(text: str, fits: Callable[[str], bool]) -> list[str]:
+    """The text, cut in two at a space, and its parts again, until every part fits or has no space to be cut at."""
+    if fits(text):
         return [text]
-    left, right = text[:at].strip(), text[at:].strip()
-    if not left or not right:
+    parts = cut(text)
+    if parts is None or parts == [text]:
         return [text]
-    return halves(left, fits) + halves(right, fits)
+    return [part for half in parts for part in halves(half, fits)]
 
 
 def split_oversize(text: Column, most: int) -> Column:
@@ -62,21 +69,43 @@ def split_oversize(text: Column, most: int) -> Column:
     return split(text)
 
 
+def spoken(synthesizer: Synthesizer, text: str) -> list[tuple[str, int]]:
+    """(key of the audio, milliseconds) of the text, or of its parts where the synthesiser refuses it as too long.
+
+    A refused text of more than 20 characters is cut as in ``halves``; parts without a space to cut at raise, as do
+    shorter texts.
+    """
+    try:
+        return [synthesizer.speak(text)]
+    except TooLong:
+        parts = cut(text) if len(text) > SHORTEST else None
+        if not parts:
+            raise
+        return [made for part in parts for made in spoken(synthesizer, part)]
+
+
 def synthesize(chunks: DataFrame, synthesizer: Synthesizer) -> DataFrame:
-    """``chunks`` (with a column chunk) with audio_key, duration_ms and error; a failed chunk fails alone."""
-    schema = chunks.schema.simpleString()[7:-1]
+    """``chunks`` (with a column chunk) with audio_key, duration_ms, error and parts; a failed chunk fails alone.
+
+    White space at the end goes and a full stop comes where no final mark stands. parts: array of (audio_key, duration_ms), in
+    order, more than one where a text was too long; audio_key is the only part's, else the parts' keys joined by "+".
+    """
+    schema = StructType([*chunks.schema.fields, *(StructField(n, t) for n, t in (("audio_key", StringType()), ("duration_ms", LongType()), ("error", StringType()), ("parts", ArrayType(_PART))))])
 
     def speak(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         synthesizer.load()
         for frame in frames:
-            keys, lengths, errors = [], [], []
+            rows = []
             for text in frame["chunk"]:
+                text = (text or "").rstrip()
+                if text and text[-1] not in ".!?…":
+                    text += "."
                 try:
-                    key, ms = synthesizer.speak(text)
-                    keys.append(key), lengths.append(ms), errors.append(None)
+                    made = spoken(synthesizer, text)
+                    rows.append(("+".join(k for k, _ in made), sum(ms for _, ms in made), None, [{"audio_key": k, "duration_ms": ms} for k, ms in made]))
                 except Exception as error:  # noqa: BLE001
-                    keys.append(None), lengths.append(0), errors.append(str(error))
-            yield frame.assign(audio_key=keys, duration_ms=lengths, error=errors)
+                    rows.append((None, 0, str(error) or type(error).__name__, []))
+            keys, lengths, errors, parts = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+            yield frame.assign(audio_key=keys, duration_ms=lengths, error=errors, parts=parts)
 
-    fields = ", ".join(x.replace(":", " ", 1) for x in schema.split(","))
-    return chunks.mapInPandas(speak, f"{fields}, audio_key string, duration_ms bigint, error string")
+    return chunks.mapInPandas(speak, schema)

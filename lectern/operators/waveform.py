@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH = 50
@@ -33,11 +33,13 @@ def nonsilent(samples: np.ndarray, rate: int, threshold: float, least_ms: int) -
 
 
 def faded(samples: np.ndarray, rate: int, in_ms: int, out_ms: int) -> np.ndarray:
-    out = samples.astype(float)
+    """Louder from nothing at the start, softer to nothing at the end, in equal steps from sample to sample."""
+    out = samples.astype(np.int64)
     a, b = min(_n(rate, in_ms), len(out)), min(_n(rate, out_ms), len(out))
-    out[:a] *= np.linspace(0, 1, a, endpoint=False)
+    if a:
+        out[:a] = np.trunc(out[:a] * np.arange(a) / a)
     if b:
-        out[-b:] *= np.linspace(1, 0, b)
+        out[-b:] = np.trunc(out[-b:] * np.arange(b - 1, -1, -1) / b)
     return out.astype(np.int16)
 
 
@@ -68,30 +70,36 @@ def prepared(samples: np.ndarray, rate: int) -> np.ndarray:
     return faded(trimmed(faded(samples, rate, 10, 0), rate), rate, 0, 20)
 
 
-def combined(segments: DataFrame, keys: list[str], crossfade: int = 100) -> DataFrame:
-    """One row of samples for each key from rows (keys, seq, frame_rate, samples), in the order of seq.
+def combined(segments: DataFrame, keys: list[str], crossfade: int = 100, pause_stretch: float = 1.0) -> DataFrame:
+    """(keys, frame_rate, samples): one row for each key from rows (keys, seq, frame_rate, samples), in the order of seq.
 
-    Segments meet fifty at a time, then the batches, so no task has more than one batch of small pieces
-    and no more than one chapter in all. A positive crossfade means fades of 5 ms at both ends.
+    samples: 16-bit little-endian samples as bytes; rows with null samples, segments without a file, are left out. A
+    pause_stretch above 1 stretches each segment's silences. Fifty segments make a batch. Where two of a batch meet and
+    crossfade is positive, the end of the one and the start of the other fade for 5 ms; batches are put together as they are.
+    A task holds one batch of segments, and in the last step one chapter.
     """
     fade = 5 if crossfade > 0 else 0
-
-    def join(final: bool):
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("seq")
-            rate = int(group["frame_rate"].iloc[0])
-            parts = [np.asarray(x, np.int16) for x in group["samples"]]
-            parts = parts if final else [faded(x, rate, fade, fade) for x in parts]
-            row = [group[k].iloc[0] for k in keys] + [int(group["seq"].iloc[0]), rate, np.concatenate(parts).tolist()]
-            return pd.DataFrame([row], columns=[*keys, "seq", "frame_rate", "samples"])
-
-        return run
-
     kinds = dict(segments.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", seq int, frame_rate int, samples array<smallint>"
-    ranked = segments.withColumn("_batch", F.floor(F.col("seq") / BATCH))
-    batches = ranked.groupBy(*keys, "_batch").applyInPandas(join(False), schema)
-    return batches.groupBy(*keys).applyInPandas(join(True), schema).drop("seq")
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", batch bigint, frame_rate int, samples binary"
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq")
+        rate = int(group["frame_rate"].iloc[0])
+        parts = [np.frombuffer(x, "<i2") for x in group["samples"]]
+        parts = [stretched(x, rate, pause_stretch) if pause_stretch > 1 else x for x in parts]
+        parts = [faded(x, rate, fade if i else 0, fade if i < len(parts) - 1 else 0) for i, x in enumerate(parts)]
+        row = [group[k].iloc[0] for k in keys] + [int(group["batch"].iloc[0]), rate, np.concatenate(parts).astype("<i2").tobytes()]
+        return pd.DataFrame([row], columns=[*keys, "batch", "frame_rate", "samples"])
+
+    there = segments.where("samples IS NOT NULL")
+    # Segments are counted without their samples.
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1
+    batch = there.select(*keys, "seq").withColumn("batch", F.floor(number / BATCH))
+    batches = there.select(*keys, "seq", "frame_rate", "samples").join(batch, [*keys, "seq"]).groupBy(*keys, "batch").applyInPandas(join, schema)
+    whole = F.sort_array(F.collect_list(F.struct("batch", "frame_rate", "samples")))
+    out = batches.groupBy(*keys).agg(whole.alias("b"))
+    samples = F.aggregate("b", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["samples"]))
+    return out.select(*keys, F.get("b", F.lit(0))["frame_rate"].alias("frame_rate"), samples.alias("samples"))
 
 
 def recovered(made: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,34 +7,34 @@ from pyspark.sql import functions as F
 
 from lectern.functions import names as N
 from lectern.operators import catalogue as G
-from lectern.plans.inputs import DOCS, docs, sql_replace, sql_strip
+from lectern.plans.inputs import BOOK, DOCS, docs, sql_replace, sql_strip
 from lectern.plans.registry import query
 from lectern.plans.text_queries import sql_camel  # noqa: F401
 from lectern.session import table
 from lectern.sources.markdown import split_chapters
 
 FILE = "concat(CASE doc_id % 6 WHEN 0 THEN 'T2_' WHEN 1 THEN 'x' ELSE '' END, 'R', doc_id % 31, '_', 'Book_', doc_id, CASE WHEN doc_id % 7 = 0 THEN '.wav' ELSE '.mp3' END)"
-FILES = f"files AS (SELECT source AS book_id, {FILE} AS filename FROM documents)"
+FILES = f"files AS (SELECT {BOOK} AS book_id, {FILE} AS filename FROM documents)"
 LISTED = "listed AS (SELECT book_id, filename, regexp_extract(filename, '^R([0-9]+)_', 1)::INT AS index FROM files WHERE regexp_matches(filename, '^R[0-9]+_') AND filename LIKE '%.mp3')"
-TITLES = "titles AS (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chapter_idx, concat('Część ', doc_id) AS title FROM documents WHERE doc_id % 3 > 0)"
+TITLES = f"titles AS (SELECT {BOOK} AS book_id, row_number() OVER (PARTITION BY {BOOK} ORDER BY doc_id) - 1 AS chapter_idx, CASE WHEN doc_id % 3 > 0 THEN concat('Część ', doc_id) END AS title FROM documents)"
 LABELLED = "labelled AS (SELECT l.book_id, l.index, filename, CASE WHEN l.index = 0 THEN 'Wprowadzenie' ELSE coalesce(t.title, 'Rozdział ' || l.index) END AS label FROM listed l LEFT JOIN titles t ON t.book_id = l.book_id AND t.chapter_idx + 1 = l.index)"
 META = (
     "SELECT source AS book_id, concat(source, '-slug') AS slug, concat('Księga ', source) AS title, 'Autor' AS author, CASE WHEN min(doc_id) % 2 = 0 THEN '' ELSE 'Saga' END AS series, "
     "CASE WHEN min(doc_id) % 3 > 0 THEN CAST(min(doc_id) % 12 AS int) END AS tom, concat('2024-01-', lpad(cast(min(doc_id) % 28 + 1 AS string), 2, '0'), 'T00:00:00Z') AS generated_at FROM documents GROUP BY source"
 )
-BOOKS = f"meta AS ({META}), books AS (SELECT m.book_id, slug, title, author, nullif(series, '') AS series, tom, generated_at, chapters FROM meta m JOIN (SELECT book_id, list({{'index': index, 'filename': filename, 'label': label}} ORDER BY index, filename) AS chapters FROM labelled GROUP BY book_id) c USING (book_id))"
+BOOKS = f"meta AS ({META.replace('FROM documents', f'FROM (SELECT doc_id, {BOOK} AS source FROM documents)')}), books AS (SELECT m.book_id, slug, title, author, nullif(series, '') AS series, tom, generated_at, chapters FROM meta m JOIN (SELECT book_id, list({{'index': index, 'filename': filename, 'label': label}} ORDER BY index, filename) AS chapters FROM labelled GROUP BY book_id) c USING (book_id))"
 BASE = f"WITH {FILES}, {LISTED}, {TITLES}, {LABELLED}, {BOOKS}"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("source AS book_id", f"{FILE} AS filename")
+    return table(spark, sf_dir, "documents").selectExpr(f"{BOOK} AS book_id", f"{FILE} AS filename")
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chapter; every third one has no title."""
-    order = Window.partitionBy("source").orderBy("doc_id")
+    order = Window.partitionBy("book_id").orderBy("doc_id")
     title = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Część "), F.col("doc_id").cast("string")))
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), (F.row_number().over(order) - 1).alias("chapter_idx"), title.alias("title"))
+    return table(spark, sf_dir, "documents").select(F.expr(BOOK).alias("book_id"), "doc_id").select("book_id", (F.row_number().over(order) - 1).alias("chapter_idx"), title.alias("title"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("m")).selectExpr(*_meta_exprs())
+    meta = table(spark, sf_dir, "documents").groupBy(F.expr(BOOK).alias("source")).agg(F.min("doc_id").alias("m")).selectExpr(*_meta_exprs())
     return G.books(labels(spark, sf_dir), meta)
 
 
@@ -68,7 +68,6 @@ def chapter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 @query(
     f"{BASE} SELECT book_id, '{{\"slug\":\"' || slug || '\",\"title\":\"' || title || '\",\"author\":\"' || author || '\"' || coalesce(',\"series\":\"' || series || '\"', '') || coalesce(',\"tom\":' || tom, '') || ',\"generated_at\":\"' || generated_at || '\",\"chapters\":' || to_json(chapters)::VARCHAR || '}}' AS json FROM books"
 )
@@ -94,18 +93,18 @@ def manifest_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.exploded(json)
 
 
-@query("SELECT source AS book_id, string_agg(text, chr(10) ORDER BY concat('chapter_', doc_id, '.md')) AS text FROM documents GROUP BY source")
+@query(f"SELECT {BOOK} AS book_id, string_agg(text, chr(10) ORDER BY concat('chapter_', doc_id, '.md')) AS text FROM documents GROUP BY ALL")
 def concat_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapter files in the order of their names: 1, 10, 11, 2."""
-    named = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.concat(F.lit("chapter_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "text")
+    named = table(spark, sf_dir, "documents").select(F.expr(BOOK).alias("book_id"), F.concat(F.lit("chapter_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "text")
     return G.ordered_concat(named, ["book_id"], "name", "text", "\n")
 
 
-@query("SELECT lang AS book_id, '[' || string_agg('{\"title\":' || to_json(concat('T', doc_id))::VARCHAR || ',\"content\":' || to_json(substr(text, 1, 200))::VARCHAR || '}', ',' ORDER BY doc_id) || ']' AS json FROM documents GROUP BY lang")
+@query("SELECT doc_id, '{\"title\":' || to_json(concat('T', doc_id))::VARCHAR || ',\"content\":' || to_json(text)::VARCHAR || '}' AS json FROM documents")
 def chapters_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = table(spark, sf_dir, "documents").select("lang", "doc_id", F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
-    rows = F.sort_array(F.collect_list(F.struct("doc_id", "title", "content")))
-    return some.groupBy(F.col("lang").alias("book_id")).agg(F.to_json(F.transform(rows, lambda x: F.struct(x["title"].alias("title"), x["content"].alias("content")))).alias("json"))
+    """A JSON object for each chapter: what a line of the chapters' file is."""
+    title = F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title")
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(title, F.col("text").alias("content"))).alias("json"))
 
 
 @query("SELECT slug, o_orderkey, made FROM (SELECT concat('s', o_custkey % 400) AS slug, o_orderkey, cast(o_orderdate AS DATE)::VARCHAR AS made, row_number() OVER (PARTITION BY o_custkey % 400 ORDER BY cast(o_orderdate AS DATE)::VARCHAR, o_orderkey) AS r FROM orders) WHERE r = 1")

@@ -171,7 +171,7 @@ PAUSED = (
 
 @query(f"{BASE}, {CUT}, {MERGED}, {PACKED}, {CHUNKS}, {PAUSED} SELECT book_id, chapter_idx, chunk_idx, pause_ms, spoken FROM paused WHERE length(spoken) >= 10")
 def chunk_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.pauses(K.chunks(prepared(spark, sf_dir)), ["book_id", "chapter_idx"]).drop("chunk")
+    return K.pauses(prepared(spark, sf_dir)).drop("chunk")
 
 
 def sql_params(x: str) -> str:
@@ -236,7 +236,7 @@ def segment_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.chunks(prepared(spark, sf_dir)).groupBy("book_id", "chapter_idx", batch.alias("batch")).agg(F.count("*").alias("segments"), F.sum(F.length("chunk")).alias("chars"))
 
 
-@query(f"{BASE}, {CUT}, {MERGED}, {PACKED}, {CHUNKS} SELECT book_id, chapter_idx, chunk_idx, md5(chunk) AS audio_key, length(chunk) * 60 AS duration_ms FROM chunks")
+@query(f"{BASE}, {CUT}, {MERGED}, {PACKED}, {CHUNKS} SELECT book_id, chapter_idx, chunk_idx, md5(c) AS audio_key, length(c) * 60 AS duration_ms FROM (SELECT *, CASE WHEN v = '' OR regexp_matches(v, '[.!?…]$') THEN v ELSE v || '.' END AS c FROM (SELECT *, " + sql_replace("chunk", f"{WS}+$", "") + " AS v FROM chunks))")
 def synthesize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks through the stand-in synthesiser, which says how long its audio would be."""
     from lectern.operators.synthesis import StubSynthesizer, synthesize

@@ -34,7 +34,7 @@ def outline_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT conv_id, turn, 'Zasady' || s || text || CASE WHEN role = 'user' THEN s || 'Styl' ELSE '' END || s || 'Napisz rozdział ' || turn || ' z 9.' || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || 'Wskazówki:' || chr(10) || 'w' || turn ELSE '' END || "
-    "coalesce(s || 'Streszczenie:' || chr(10) || nullif(lag(substr(text, 1, 30)) OVER (PARTITION BY conv_id ORDER BY turn), ''), '') AS prompt FROM (SELECT *, chr(10) || chr(10) || '---' || chr(10) || chr(10) AS s FROM conversations)"
+    "coalesce(s || 'Streszczenie:' || chr(10) || nullif(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '') AS prompt FROM (SELECT *, chr(10) || chr(10) || '---' || chr(10) || chr(10) AS s FROM conversations)"
 )
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's prompt with the text of the turn before as its summary."""
@@ -97,3 +97,20 @@ def validate_args(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 200 lines of a log."""
     return R.last_lines(table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.col("event_type").alias("line")), 200)
+
+
+@query(
+    "SELECT p_partkey, array_to_string(list_filter(['convert', p_name, CASE WHEN p_size % 2 = 0 THEN '--optimize' END, CASE WHEN p_size % 2 = 0 THEN 'speed' END, "
+    "CASE WHEN p_size % 5 > 1 THEN '--chunk-size' END, CASE WHEN p_size % 5 > 1 THEN p_size::VARCHAR END, CASE WHEN p_size % 3 = 0 THEN '--resume' END], lambda x: x IS NOT NULL), ' ') AS cmd FROM part"
+)
+def command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command's words, options only where there is a value."""
+    size = F.col("p_size")
+    options = {"--optimize": F.when(size % 2 == 0, F.lit("speed")), "--chunk-size": F.when(size % 5 > 1, size.cast("string")).when(size % 5 == 0, F.lit(""))}
+    made = F.concat(F.array(F.lit("convert"), F.col("p_name")), R.command([], options, {"--resume": size % 3 == 0}))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(made, " ").alias("cmd"))
+
+
+@query("SELECT o_orderkey, concat('book-', o_orderkey, '_', strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d')) AS folder FROM orders")
+def dated_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.dated(F.concat(F.lit("book-"), F.col("o_orderkey").cast("string")), F.col("o_orderdate")).alias("folder"))

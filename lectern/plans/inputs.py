@@ -19,7 +19,9 @@ CONTENT = (
     "concat(CASE WHEN doc_id % 3 = 0 THEN concat('Rozdział ', doc_id % 1200, ' TYTUŁ KSIĄŻKI ') ELSE '' END, '„', substr(text, 1, 40 + cast(doc_id % 40 AS int)), '”', "
     "CASE doc_id % 4 WHEN 0 THEN '. ' WHEN 1 THEN ', ' ELSE ' ' END, text, ' [', doc_id % 90, '] . Zob. prof. A. Nowak, nr 5. Strona ', doc_id % 70, ' (...) część 12 koniec... tom 21')"
 )
-DOCS = f"docs AS (SELECT doc_id, source AS book_id, doc_id AS pos, {TITLE} AS title, {FILENAME} AS filename, {CONTENT} AS content, text FROM documents)"
+#: A book: a hundred consecutive ids of one source, so that there are more books, not longer ones, at a larger scale.
+BOOK = "concat(source, '-', cast(floor(doc_id / 100) AS bigint))"
+DOCS = f"docs AS (SELECT doc_id, {BOOK} AS book_id, doc_id AS pos, {TITLE} AS title, {FILENAME} AS filename, {CONTENT} AS content, text FROM documents)"
 MARKUP = (
     "concat('<h2>Rozdział ', page_id % 300, '</h2><p><span class=\"litera_inicjal\">W</span>isława<sup>[', page_id % 9, ']</sup></p>', "
     "CASE WHEN page_id % 3 = 0 THEN '<figure><img src=\"a.png\"><figcaption>Podpis</figcaption></figure><p class=\"photo-credit\">Foto</p>' ELSE '' END, html)"
@@ -29,7 +31,7 @@ MARKUP = (
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, book_id, pos, title, filename, content, text) from ``documents``."""
     return table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "source AS book_id", "doc_id AS pos", f"{TITLE} AS title", f"{FILENAME} AS filename", f"{CONTENT} AS content", "text"
+        "doc_id", f"{BOOK} AS book_id", "doc_id AS pos", f"{TITLE} AS title", f"{FILENAME} AS filename", f"{CONTENT} AS content", "text"
     )
 
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import playback as P
+from lectern.operators.chunking import chunks
+from lectern.plans.chapter_queries import CHUNKS, CUT, MERGED, PACKED
 from lectern.plans.registry import query
 from lectern.session import table
+from lectern.streaming.incremental import drained
 
 JSON = "CASE event_id % 5 WHEN 0 THEN concat('{\"slug\":\"b', user_id, '\",\"chapterIndex\":', event_id % 9, '}') WHEN 1 THEN '{broken' WHEN 2 THEN '{\"slug\":\"x\",\"chapterIndex\":\"y\",\"currentTime\":1}' ELSE concat('{\"slug\":\"b', user_id, '\",\"chapterIndex\":', event_id % 9, ',\"currentTime\":', event_id % 70, '.5}') END"
 
@@ -42,11 +46,18 @@ KIND = "CASE event_id % 4 WHEN 0 THEN 'ended' WHEN 1 THEN 'next' WHEN 2 THEN 'pr
 
 
 @query(
-    f"SELECT event_id, user_id, floor(place / 8)::BIGINT AS book, ((place % 8) + 8) % 8 AS chapter FROM (SELECT event_id, user_id, sum(CASE WHEN kind IN ('ended', 'next') THEN 1 WHEN kind = 'prev' AND value <= 5 THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS place FROM (SELECT *, {KIND} AS kind FROM events))"
+    f"WITH RECURSIVE b AS (SELECT r_regionkey AS book, r_regionkey % 4 + 1 AS n FROM region), e AS (SELECT event_id, user_id, {KIND} AS kind, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), "
+    "steps(event_id, user_id, i, book, chapter) AS (SELECT NULL::BIGINT, user_id, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM e GROUP BY user_id UNION ALL "
+    "SELECT e.event_id, e.user_id, e.i, CASE WHEN forward AND chapter + 1 >= n AND s.book < (SELECT max(book) FROM b) THEN s.book + 1 ELSE s.book END, "
+    "CASE WHEN forward AND chapter + 1 < n THEN chapter + 1 WHEN forward AND s.book < (SELECT max(book) FROM b) THEN 0 WHEN kind = 'prev' AND value <= 5 AND chapter > 0 THEN chapter - 1 ELSE chapter END "
+    "FROM steps s JOIN b ON b.book = s.book JOIN (SELECT *, kind IN ('ended', 'next') AS forward FROM e) e ON e.user_id = s.user_id AND e.i = s.i + 1) "
+    "SELECT event_id, user_id, book, chapter FROM steps WHERE i > 0"
 )
 def player_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players of a catalogue of one book for each region, of one to four chapters."""
+    catalogue = table(spark, sf_dir, "region").orderBy("r_regionkey").select((F.col("r_regionkey") % 4 + 1).cast("int").alias("n"))
     df = events(spark, sf_dir).select("event_id", "user_id", "ts", F.expr(KIND).alias("kind"), F.col("value").alias("at"))
-    return P.transitions(df, "user_id", ["ts", "event_id"], 8).select("event_id", "user_id", "book", "chapter")
+    return P.transitions(df, "user_id", ["ts", "event_id"], [r.n for r in catalogue.collect()]).select("event_id", "user_id", "book", "chapter")
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type")
@@ -55,9 +66,8 @@ def chapter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.changes(df, "user_id", ["ts", "event_id"], ["event_type"]).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT doc_id, length(text)::BIGINT AS chars FROM documents")
+@query(f"WITH chapters AS (SELECT doc_id AS book_id, 0 AS pos, 0 AS chapter_idx, text AS content FROM documents), {CUT}, {MERGED}, {PACKED}, {CHUNKS} SELECT book_id AS doc_id, chunk_idx, chunk FROM chunks")
 def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents read as a stream up to what is there, each once."""
-    from lectern.streaming.incremental import drained
-
-    return drained(spark, f"{sf_dir}/documents.parquet", lambda df: df.select("doc_id", F.length("text").cast("bigint").alias("chars")))
+    """Documents read as a stream up to what is there, each once, and cut into chunks."""
+    content = T.annotate_quotes(T.clean_text(F.col("text"))).alias("content")
+    return drained(spark, f"{sf_dir}/documents.parquet", lambda df: chunks(df.select("doc_id", content)))

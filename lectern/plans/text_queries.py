@@ -43,11 +43,11 @@ def sql_quotes(x: str) -> str:
 
 
 def sql_digits(x: str) -> str:
-    return f"CASE WHEN length({x}) > 0 THEN length(regexp_replace({x}, '[^0-9]', '', 'g')) / length({x}) ELSE 0.0 END"
+    return f"CASE WHEN length({x}) > 0 THEN length(regexp_replace({x}, '[^\\p{{Nd}}²⑦]', '', 'g')) / length({x}) ELSE 0.0 END"
 
 
 def sql_camel(x: str) -> str:
-    plain = f"regexp_replace(replace(translate({x}, '{N.MARKED}', '{N.PLAIN}'), 'ß', 'ss'), '[^a-zA-Z0-9\\s]', '', 'g')"
+    plain = f"regexp_replace(strip_accents(translate(replace({x}, 'ß', 'ss'), 'łŁđĐøØ', 'lLdDoO')), '[^a-zA-Z0-9\\s]', '', 'g')"
     return f"array_to_string(list_transform(list_filter(string_split_regex({plain}, '\\s+'), lambda w: w <> ''), lambda w: upper(w[1]) || lower(w[2:])), '')"
 
 
@@ -80,10 +80,10 @@ _scalar(
 _scalar(
     "ensure_terminal_punct",
     lambda: T.ensure_terminal_punct(F.col("text")),
-    "CASE WHEN v = '' OR regexp_matches(v, '[.!?…]$') THEN v ELSE v || '.' END".replace("v", f"({sql_replace('substr(text, 1, 60)', f'{WS}+$', '')})"),
+    "CASE WHEN v = '' OR regexp_matches(v, '[.!?…]$') THEN v ELSE v || '.' END".replace("v", f"({sql_replace('text', f'{WS}+$', '')})"),
 )
 _scalar("word_count", lambda: T.word_count(F.col("content")).cast("bigint"), sql_words("content") + "::BIGINT")
-_scalar("digit_ratio", lambda: F.round(T.digit_ratio(F.concat(F.col("content"), F.repeat(F.lit("7"), F.col("doc_id").cast("int") % 50))), 9), f"round({sql_digits('''concat(content, repeat('7', (doc_id % 50)::INT))''')}, 9)")
+_scalar("digit_ratio", lambda: F.round(T.digit_ratio(F.concat(F.col("content"), F.lit("٣²⑦"), F.repeat(F.lit("7"), F.col("doc_id").cast("int") % 50))), 9), f"round({sql_digits('''concat(content, '٣²⑦', repeat('7', (doc_id % 50)::INT))''')}, 9)")
 _scalar("sanitize_filename", lambda: N.sanitize_filename(F.concat(F.col("title"), F.lit(' a/b\\c:"d" '), F.col("content"))), "substr(" + sql_replace(sql_replace("concat(title, ' a/b\\c:\"d\" ', content)", '[<>:"/\\\\|?*]', ""), f"{WS}+", "_") + ", 1, 50)")
 _scalar("title_from_filename", lambda: N.title_from_filename(F.col("filename")), sql_file_title("filename"))
 _scalar(
@@ -91,11 +91,11 @@ _scalar(
     lambda: N.md_title(F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("# ")).otherwise(F.lit("")), F.col("title"), F.lit("\n"), F.col("content")), F.col("filename")),
     f"CASE WHEN doc_id % 2 = 0 THEN {sql_strip('title')} ELSE {sql_file_title('filename')} END",
 )
-_scalar("camel_ascii", lambda: N.camel_ascii(F.concat(F.col("title"), F.lit(" łódź straße "), F.col("content"))), sql_camel("concat(title, ' łódź straße ', substr(content, 1, 80))"))
+_scalar("camel_ascii", lambda: N.camel_ascii(F.concat(F.col("title"), F.lit(" łódź straße Antonín Dvořák Škoda Čapek đuro Ångström "), F.col("content"))), sql_camel("concat(title, ' łódź straße Antonín Dvořák Škoda Čapek đuro Ångström ', content)"))
 _scalar(
     "mp3_filename",
-    lambda: N.mp3_filename(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 12), F.col("pos"), F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.lit("Noc nad Wisłą")), F.col("title"), F.lit("Stanisław Żak"), F.lit("mp3")),
-    f"concat_ws('_', CASE WHEN doc_id % 3 > 0 THEN 'T' || (doc_id % 12) END, 'R' || pos, CASE WHEN doc_id % 4 <> 0 THEN 'NocNadWisla' END, {sql_camel('title')}, 'StanislawZak') || '.mp3'",
+    lambda: N.mp3_filename(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 12), F.col("pos"), F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.lit("Noc nad Wisłą")), F.col("title"), F.lit("Stanisław Žák Dvořáček"), F.lit("mp3")),
+    f"concat_ws('_', CASE WHEN doc_id % 3 > 0 THEN 'T' || (doc_id % 12) END, 'R' || pos, CASE WHEN doc_id % 4 <> 0 THEN 'NocNadWisla' END, {sql_camel('title')}, 'StanislawZakDvoracek') || '.mp3'",
 )
 _scalar("fallback_filename", lambda: N.fallback_filename(F.col("pos") % 150, F.col("title"), F.lit("wav")), "CASE WHEN pos % 150 < 10 THEN '0' ELSE '' END || (pos % 150) || '_' || title || '.wav'")
 _scalar("output_dir", lambda: N.output_dir(F.concat(F.lit("/books/x.y/"), F.col("filename"))), "regexp_replace(filename, '\\.[^.]*$', '') || '_audio'")
@@ -176,6 +176,12 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", C.html_strip(F.col("html")).alias("value"))
 
 
+@query()
+def html_strip_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stripped by a parser."""
+    return pages(spark, sf_dir).select("page_id", C.html_strip_exact(F.col("html")).alias("value"))
+
+
 def sql_extract(x: str) -> list[str]:
     """The chain as steps over a column v, to keep the SQL from growing with every nesting."""
     return [

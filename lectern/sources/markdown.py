@@ -43,5 +43,7 @@ def load_folder(spark: SparkSession, path: str) -> DataFrame:
     has_title = F.col("text").rlike(r"^# [^\n]+")
     body = F.when(has_title, F.regexp_replace("text", r"^# [^\n]+\n?", "")).otherwise(F.col("text"))
     rows = raw.where(strip(F.col("text")) != "").select("path", md_title(F.col("text"), F.col("name")).alias("title"), md_clean_text(body).alias("content"))
-    order = Window.orderBy("path")  # one folder's files: chapters of one book
-    return rows.where("content <> ''").select((F.row_number().over(order) - 1).alias("chapter_idx"), "title", "content")
+    kept = rows.where("content <> ''")
+    # The paths alone are numbered; texts stay where they are read.
+    number = kept.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("chapter_idx"))
+    return kept.join(number, "path").select("chapter_idx", "title", "content")

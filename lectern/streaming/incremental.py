@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.session import shared_folder
+
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -31,14 +32,9 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; in a local session without one, a temporary folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-stream-")
-
-
 def drained(spark: SparkSession, source: str, transform: Transform) -> DataFrame:
     """All of ``source`` through a stream into a fresh sink, read back."""
-    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = resumable(spark, source, transform, f"{base}/out", f"{base}/checkpoint")
     query.awaitTermination()
     return spark.read.parquet(f"{base}/out")

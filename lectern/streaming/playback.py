@@ -16,10 +16,10 @@ def keep_latest(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: Gro
     """Replace a listener's position by the newest of the batch, unless the one held is newer."""
     best = state.get if state.exists else None
     for frame in frames:
-        for row in frame.itertuples(index=False):
-            found = (int(row.ms), row.slug, int(row.chapter), float(row.at))
-            if best is None or found[0] >= best[0]:
-                best = found
+        if len(frame):
+            last = frame.iloc[frame["ms"].to_numpy()[::-1].argmax() * -1 - 1]
+            if best is None or last["ms"] >= best[0]:
+                best = (int(last["ms"]), last["slug"], int(last["chapter"]), float(last["at"]))
     if best is not None:
         state.update(best)
         yield pd.DataFrame([(key[0], best[1], best[2], best[3])], columns=["user_id", "slug", "chapter", "at"])

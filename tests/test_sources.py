@@ -5,6 +5,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.interactive import wizard
 from lectern.operators import waveform as W
@@ -54,8 +55,30 @@ def test_wav_and_audio_listing(spark, tmp_path):
     (tmp_path / "b.wav").write_bytes(b"broken")
     (tmp_path / "c.MP3").write_bytes(b"x")
     rows = {r.path.rsplit("/", 1)[1]: r for r in files.read_wav(spark, str(tmp_path)).collect()}
-    assert rows["a.wav"].duration_ms == 1000 and rows["a.wav"].samples == tone.tolist() and rows["b.wav"].error
-    assert sorted(r.name for r in files.list_audio(spark, str(tmp_path)).collect()) == ["a.wav", "b.wav"]
+    assert rows["a.wav"].duration_ms == 1000 and rows["a.wav"].samples == tone.astype("<i2").tobytes() and rows["b.wav"].error
+    (tmp_path / "d").mkdir()
+    listed = {r.name: r.skipped for r in files.list_audio(spark, [str(tmp_path), str(tmp_path / "a.wav"), str(tmp_path / "gone")]).collect()}
+    assert listed == {"a.wav": None, "b.wav": None, "c.MP3": "not audio", "d": "folder", "gone": "missing"}
+    assert files.write_wav(files.read_wav(spark, str(tmp_path)), str(tmp_path / "d"), F.lit("out")) == 1
+    assert files.samples_of((tmp_path / "d" / "out.wav").read_bytes())[1].tolist() == tone.tolist()
+
+
+def test_jobs_checkpoints_and_files_in_place(spark, tmp_path):
+    job, state, file = str(tmp_path / "job"), str(tmp_path / "state"), str(tmp_path / "x.bin")
+    assert not files.read_job(spark, job).first().running and not files.end_job(spark, job, 0)
+    files.start_job(spark, job, ["a", "b"], "/out", 7)
+    with pytest.raises(files.AlreadyRunning):
+        files.start_job(spark, job, ["c"], "/out")
+    assert files.end_job(spark, job, None, stopped=True)
+    row = files.read_job(spark, job).first()
+    assert (row.running, row.stopped, row.cmd, row.pid) == (False, True, ["a", "b"], 7)
+    files.start_job(spark, job, ["c"], "/out")
+    files.write_checkpoint(spark.createDataFrame([(["A"], 2, 3)], files.CHECKPOINT), state)
+    assert files.read_checkpoint(spark, state).first().current_chapter == 2
+    assert files.delete(spark, state) and not files.delete(spark, state)
+    for content in (b"one", b"two", b"three"):
+        files.replace_in_place(spark, file, content, backup=True)
+    assert (tmp_path / "x.bin").read_bytes() == b"three" and (tmp_path / "x.bin.backup").read_bytes() == b"one"
 
 
 def test_waveforms(spark):
@@ -66,8 +89,15 @@ def test_waveforms(spark):
     assert len(W.trimmed(audio, rate)) == 2900
     assert len(W.stretched(audio, rate, 1.5)) == 3000 + 500 + 3000
     assert len(W.trimmed(speech, rate)) == 500 and W.nonsilent(silence, rate, -65, 800) == []
-    rows = spark.createDataFrame([("b", i, rate, [i]) for i in range(120)], "book string, seq int, frame_rate int, samples array<smallint>")
-    assert W.combined(rows, ["book"], crossfade=0).first().samples == list(range(120))
+    rows = spark.createDataFrame([("b", i, rate, bytearray(np.array([i], "<i2").tobytes())) for i in range(120)], "book string, seq int, frame_rate int, samples binary")
+    a, b, c = (np.full(20, 1000, "<i2") for _ in range(3))
+    three = spark.createDataFrame([("b", i, rate, bytearray(x.tobytes())) for i, x in enumerate((a, b, c))] + [("b", 9, rate, None)], "book string, seq int, frame_rate int, samples binary")
+    joined = np.frombuffer(W.combined(three, ["book"]).first().samples, "<i2").tolist()
+    down, up = [800, 600, 400, 200, 0], [0, 200, 400, 600, 800]
+    assert joined == [1000] * 15 + down + up + [1000] * 10 + down + up + [1000] * 15
+    chunk = W.prepared(np.concatenate([speech, silence]), rate)
+    assert len(chunk) == 900 and chunk[:3].tolist() == [0, 900, 1800] and chunk[499] == 9000 and chunk[-1] == 0
+    assert np.frombuffer(W.combined(rows, ["book"], crossfade=0).first().samples, "<i2").tolist() == list(range(120))
 
 
 def test_wizard():

@@ -70,7 +70,7 @@ def test_names(spark):
 
 
 def test_synthesis_splits_and_isolates_failures(spark):
-    from lectern.operators.synthesis import halves, synthesize
+    from lectern.operators.synthesis import TooLong, halves, synthesize
 
     assert halves("aa bb cc dd", lambda x: len(x) <= 8) == ["aa", "bb cc dd"]
     assert halves("abcdef", lambda x: len(x) <= 3) == ["abcdef"]
@@ -80,9 +80,27 @@ def test_synthesis_splits_and_isolates_failures(spark):
             pass
 
         def speak(self, text):
-            if text == "bad":
+            if text == "bad!":
                 raise ValueError("no")
-            return text.upper(), 1
-
-    df = synthesize(spark.createDataFrame([("ok",), ("bad",)], "chunk string"), Picky())
-    assert sorted((r.chunk, r.audio_key, r.error) for r in df.collect()) == [("bad", None, "no"), ("ok", "OK", None)]
+            if len(text) > 24:
+                raise TooLong("400 tokens")
+            return text.upper(), len(text)
+
+    texts = ["ok", "bad!", "", "twelve words and more are too long for it", "oneverylongwordwithoutanyspace"]
+    df = synthesize(spark.createDataFrame([(t,) for t in texts], "chunk string"), Picky())
+    found = {r.chunk: (r.audio_key, r.duration_ms, r.error) for r in df.collect()}
+    assert found == {
+        "ok": ("OK.", 3, None),
+        "bad!": (None, 0, "no"),
+        "": ("", 0, None),
+        "twelve words and more are too long for it": ("TWELVE WORDS AND+MORE ARE+TOO LONG FOR IT.", 40, None),
+        "oneverylongwordwithoutanyspace": (None, 0, "400 tokens"),
+    }
+
+
+def test_exact_removal_of_nested_elements(spark):
+    from lectern.operators.chapters import html_strip_exact
+
+    pages = ["a<div class='photo-credit'>x<b>y</b><div>z</div></div>b", "<figure><p>x</p><figure>y</figure>z</figure>&amp;c<br/>d", "<p id='podpis1'>no<p>end", None, ""]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    assert [r.v for r in df.select("i", html_strip_exact(df.html).alias("v")).orderBy("i").collect()] == ["a b", "&c d", "", None, ""]
