@@ -17,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of one Arrow batch.
 BATCH_ROWS = 500
+#: A key that holds more than one row in so many is joined by broadcast, of at most so many rows; the others by a shuffle.
+HEAVY = 1000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -26,9 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for tables that cut a lineage: ``spark.checkpoint.dir``, else (tests) one of our own."""
+    """The shared folder for tables that cut a lineage: ``spark.checkpoint.dir``, else, in a local session, one of our own.
+
+    Raises on a cluster that names none.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: there is no folder that all executors share")
         path = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -46,6 +53,17 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` joined with ``right`` (key, n, ...), one row for each key, which ``n`` rows of ``left`` have at most.
+
+    Keys that hold more than a HEAVY-th of the sum of n are at most HEAVY rows and broadcast; no other key is large.
+    """
+    total = right.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.col("n") * HEAVY > F.lit(total)
+    hot = F.broadcast(right.where(heavy))
+    return left.join(hot, key).unionByName(left.join(F.broadcast(right.where(heavy).select(key)), key, "left_anti").join(right.where(~heavy), key))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Have Arrow batches of at most BATCH_ROWS rows, unless the session says otherwise than the default.
 

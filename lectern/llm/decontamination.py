@@ -6,8 +6,9 @@ With k = 5 and w = 6 every shared run of ten words has a common fingerprint. The
 documents are joined to those of the benchmark; each hit is extended to both sides, word by word, and
 counts if the run is at least ten words long. Items of fewer words are looked up whole.
 
-The index is made from the benchmark and broadcast, a block of bounded size at a time; documents are
-scanned where they are, without a shuffle, once for each block.
+A benchmark of up to BLOCK_BYTES is indexed in one broadcast, and documents are scanned where they are. A larger one is
+joined: a bitmap of its fingerprints, of fixed size, tells which fingerprints of a document can be in it; around these the
+document's windows are joined with the benchmark's by two independent 64-bit hashes, and neighbouring hits extend each other.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, plain_lower, slices, small_batches
+from lectern.llm.common import WORD, joined, plain_lower, settle, slices, small_batches
 
 #: Words of an item's window: shared runs that count.
 WINDOW = 10
 #: Words of a fingerprint, and fingerprints of which one is kept.
 GRAM = 5
 KEPT = WINDOW - GRAM + 1
-#: Bytes of benchmark text in one broadcast block.
+#: Bytes of benchmark text that are broadcast at most.
 BLOCK_BYTES = 16 << 20
+#: Bits of the bitmap of a larger benchmark's fingerprints: 16 MB.
+BITS = 27
 #: Words whose hash a worker remembers. Bears on speed only.
 REMEMBERED = 100_000
 
@@ -199,6 +202,125 @@ def _scan(block: Any, text: Column) -> Column:
 KIND_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
 
+def _second(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of words, from their first."""
+    with np.errstate(over="ignore"):
+        x = (hashes ^ _U(0xA0761D6478BD642F)) * _U(0xE7037ED1A0B428DB)
+        return x ^ (x >> _U(32))
+
+
+def _windows(words: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of all runs of k words. Runs of different lengths have different hashes."""
+    hashes = word_hashes(words)
+    with np.errstate(over="ignore"):
+        return grams(hashes, k) + _U(k), grams(_second(hashes), k)
+
+
+_MARKS = "array<struct<kind:int,mark:bigint>>"
+_WINDOWS = "array<struct<a:bigint,b:bigint,start:int,size:int>>"
+_WINDOWS_ARROW = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("start", pa.int32()), ("size", pa.int32())]))
+
+
+def _item_marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Of an item of a window or more its fingerprints, kind 0; of a shorter one its only window, kind its words."""
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("mark", pa.int64())]))
+    for texts in batches:
+        out = []
+        for text in texts.to_pylist():
+            words = words_of(text)
+            found = grams(word_hashes(words), GRAM if len(words) >= WINDOW else max(len(words), 1))
+            if len(words) >= WINDOW:
+                found = np.unique(found[winnowed(found)])
+            out.append([{"kind": 0 if len(words) >= WINDOW else len(words), "mark": m} for m in found.view(np.int64).tolist()])
+        yield pa.array(out, kind)
+
+
+def _item_windows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        out = []
+        for text in texts.to_pylist():
+            words = words_of(text)
+            k = min(WINDOW, len(words))
+            a, b = _windows(words, k) if words else (np.zeros(0, np.uint64),) * 2
+            out.append([{"a": x, "b": y, "start": n, "size": k} for n, (x, y) in enumerate(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True))])
+        yield pa.array(out, _WINDOWS_ARROW)
+
+
+def _bitmap(marks: DataFrame) -> tuple[dict[int, np.ndarray], int]:
+    """Of each kind the bits of its marks' upper halves. 64 at a time are put together before they come to the driver: 16 MB for a kind at most."""
+    bit = F.shiftrightunsigned("mark", 64 - BITS)
+    cells = marks.select("kind", F.shiftright(bit, 6).alias("cell"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    cells = cells.groupBy("kind", "cell").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    out: dict[int, np.ndarray] = {}
+    for kind, cell, bits in cells.toLocalIterator():
+        out.setdefault(kind, np.zeros(1 << (BITS - 6), np.int64))[cell] = bits
+    return out, sum(x.nbytes for x in out.values())
+
+
+def _possible(found: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the marks can be in the benchmark."""
+    at = (found >> _U(64 - BITS)).astype(np.int64)
+    return (bits[at >> 6].view(np.uint64) >> (at & 63).astype(_U)) & _U(1) > 0
+
+
+def _windows_of(bitmaps: Any, text: Column) -> Column:
+    """(n_words, windows): the windows of a text that can be in the benchmark."""
+
+    @F.arrow_udf(f"struct<n_words:bigint,windows:{_WINDOWS}>")
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bits = bitmaps.value
+        for texts in batches:
+            out = []
+            for text in texts.to_pylist():
+                words = words_of(text)
+                hashes = word_hashes(words)
+                own = []
+                for kind, map_ in bits.items():
+                    k = kind or WINDOW
+                    if len(words) < k:
+                        continue
+                    found = grams(hashes, kind or GRAM)
+                    if kind:
+                        starts = np.flatnonzero(_possible(found, map_))
+                    else:
+                        kept = winnowed(found)
+                        kept = kept[_possible(found[kept], map_)]
+                        # All windows that hold the fingerprint.
+                        starts = np.unique((kept[:, None] - np.arange(WINDOW - GRAM + 1)).reshape(-1))
+                        starts = starts[(starts >= 0) & (starts <= len(words) - WINDOW)]
+                    if len(starts):
+                        a, b = _windows(words, k)
+                        own += [{"a": x, "b": y, "start": n, "size": k} for n, x, y in zip(starts.tolist(), a[starts].view(np.int64).tolist(), b[starts].view(np.int64).tolist(), strict=True)]
+                out.append({"n_words": len(words), "windows": own})
+            yield pa.array(out, pa.struct([("n_words", pa.int64()), ("windows", _WINDOWS_ARROW)]))
+
+    return scan(text)
+
+
+def _joined_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(__key, spans, items) by text key, of texts with hits, for a benchmark of any size."""
+    spark = docs.sparkSession
+    bitmaps, _ = _bitmap(items.select(F.inline(F.arrow_udf(_MARKS)(_item_marks)("text"))))
+    bits = spark.sparkContext.broadcast(bitmaps)
+    texts = docs.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("__key"), _windows_of(bits, F.col("text"))["windows"].alias("windows")).where(F.size("windows") > 0)
+    own = settle(texts.groupBy("__key").agg(F.first("windows").alias("windows")).select("__key", F.inline("windows")), "windows")
+    theirs = settle(items.select("item", F.inline(F.arrow_udf(_WINDOWS)(_item_windows)("text"))).select("item", "a", "b").distinct(), "items")
+    counts = own.groupBy("a", "b").agg(F.count("*").alias("n"))
+    window = F.struct("a", "b").alias("window")
+    known = settle(theirs.groupBy("a", "b").agg(F.count("*").alias("n_items")).join(counts, ["a", "b"]).select(window, "n", "n_items"), "known")
+    hits = settle(joined(own.select("__key", window, "start", "size"), known, "window"), "hits")
+    run = lambda a, x: F.when(
+        (F.size(a) > 0) & (x["start"] <= F.try_element_at(a, F.lit(-1))["end"]),
+        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end")))),
+    ).otherwise(F.array_append(a, x))
+    places = F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
+    spans = hits.groupBy("__key").agg(places.alias("p")).select("__key", F.aggregate("p", F.array().cast("array<struct<start:int,end:int>>"), run).alias("spans"))
+    # What is joined here is the result, a row for each window and item; adaptive execution splits frequent windows.
+    of_items = hits.select("__key", "window").distinct().join(theirs.select(window, "item"), "window").select("__key", "item").distinct()
+    named = of_items.groupBy("__key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return settle(spans.join(named, "__key"), "found")
+
+
 def scanned(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words, spans (array of [start, end) in words, merged and sorted) and items (sorted
     ids, as strings, of benchmark items with an occurring window).
@@ -210,24 +332,18 @@ def scanned(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
     small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
-    n_blocks = -(-size // block_bytes) or 1
     df = docs.drop("n_words", "spans", "items")
-    for k in range(n_blocks):
-        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
-        rows = sorted(tuple(r) for r in part.distinct().collect())
+    if size <= block_bytes:
+        rows = sorted(tuple(r) for r in items.distinct().collect())
         digest = xxhash.xxh3_128_hexdigest(repr(rows))
-        df = df.withColumn(f"__hits{k}", _scan(spark.sparkContext.broadcast((digest, rows)), F.col("text")))
-    hits = [F.col(f"__hits{k}") for k in range(n_blocks)]
-    if n_blocks == 1:
-        out = df.select(*docs.drop("n_words", "spans", "items").columns, "__hits0.*")
-        return out
-    union = F.concat(*(h["spans"] for h in hits))
-
-    def joined(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        grown = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(a) > 0) & (x["start"] <= F.try_element_at(a, F.lit(-1))["end"]), grown).otherwise(F.array_append(a, x))
-
-    spans = F.aggregate(F.sort_array(union), F.array().cast("array<struct<start:int,end:int>>"), joined)
-    names = docs.drop("n_words", "spans", "items").columns
-    return df.select(*names, hits[0]["n_words"].alias("n_words"), spans.alias("spans"), F.sort_array(F.array_distinct(F.concat(*(h["items"] for h in hits)))).alias("items"))
+        return df.withColumn("__hits", _scan(spark.sparkContext.broadcast((digest, rows)), F.col("text"))).select(*df.columns, "__hits.*")
+    found = _joined_hits(df, items)
+    empty = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
+    hit = df.withColumn("__key", F.md5(F.col("text").cast("binary"))).join(found, "__key", "left")
+    return hit.select(*df.columns, F.arrow_udf("bigint")(_n_words)("text").alias("n_words"), F.coalesce("spans", empty[0]).alias("spans"), F.coalesce("items", empty[1]).alias("items"))
+
+
+def _n_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """How many words a text has."""
+    for texts in batches:
+        yield pa.array([len(words_of(x)) for x in texts.to_pylist()], pa.int64())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from lectern.llm.common import WORD, ascii_lower, settle, slices, small_batches
+from lectern.llm.common import WORD, ascii_lower, joined, settle, slices, small_batches
 from lectern.llm.decontamination import grams, word_hashes, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -36,8 +36,6 @@ REGISTERS = BANDS * ROWS
 LIKELY = 0.66
 #: Texts, and bytes of their bags, of a band in one block of the pairwise comparison.
 BLOCK, BLOCK_BYTES = 1024, 32 << 20
-#: A key that holds more than one row in so many is joined by broadcast, of at most so many rows; the others by a shuffle.
-HEAVY = 1000
 
 _U = np.uint64
 _GOLDEN, _SILVER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -166,17 +164,6 @@ def similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
         yield pa.array([float(shared(bag(x), [bag(y)])[0]) for x, y in zip(a, b, strict=True)], pa.float64())
 
 
-def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` joined with ``right`` (key, n, ...), one row for each key, which ``n`` rows of ``left`` have at most.
-
-    Keys that hold more than a HEAVY-th of the sum of n are at most HEAVY rows and broadcast; no other key is large.
-    """
-    total = right.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = F.col("n") * HEAVY > F.lit(total)
-    hot = F.broadcast(right.where(heavy))
-    return left.join(hot, key).unionByName(left.join(F.broadcast(right.where(heavy).select(key)), key, "left_anti").join(right.where(~heavy), key))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b): the smallest id that it is connected with.
 
@@ -220,7 +207,7 @@ def _cells(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         in_blocks(F.col("most"), F.col("major.bytes")).alias("most"),
         in_blocks(F.col("n") - F.col("most"), F.col("bytes") - F.col("major.bytes")).alias("rest"),
     )
-    open_ = _joined(named.drop("size"), settle(mixed, "mixed"), "band").drop("n").join(nodes.select("id", "signature"), "id")
+    open_ = joined(named.drop("size"), settle(mixed, "mixed"), "band").drop("n").join(nodes.select("id", "signature"), "id")
     major, dealt_to = F.col("root") == F.col("major"), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     block = F.when(major, F.col("rest") + dealt_to(F.col("most"))).otherwise(dealt_to(F.col("rest")))
     others = F.sequence(F.lit(0), F.when(major, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
@@ -330,7 +317,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     signs = keyed.select("key", signed("text").alias("s")).where("s is not null").groupBy("key").agg(F.first("s").alias("s"))
     nodes = settle(signs.select("key", F.monotonically_increasing_id().alias("id"), "s.signature", "s.size"), "nodes")
     centres = settle(banded(nodes, "id").groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "centres")
-    met = _joined(banded(nodes, "id"), centres, "band").groupBy("id", "b").agg(F.count("*").alias("bands"), F.max("n").alias("n"))
+    met = joined(banded(nodes, "id"), centres, "band").groupBy("id", "b").agg(F.count("*").alias("bands"), F.max("n").alias("n"))
     best = met.groupBy(F.col("id").alias("a")).agg(F.max_by(F.struct("b", "n"), F.struct("bands", -F.col("b"))).alias("x")).select("a", "x.b", "x.n")
     best = settle(best, "best")  # of every text that shares a band, centres too
     # Copies are reduced to one before the exchange, which serves the join too.
@@ -369,10 +356,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     own = keyed.where("__key is not null").groupBy("__key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     own = settle(own.join(found.withColumnRenamed("key", "__key"), "__key", "left"), "least")
     named = settle(own.where("root_key is not null").groupBy("root_key").agg(F.min("least").alias("class_id"), F.count("*").alias("n")), "named")
-    in_class = _joined(own.where("root_key is not null"), named, "root_key").select("__key", "rows", "class_id", F.col("root_key").alias("class_key"))
+    in_class = joined(own.where("root_key is not null"), named, "root_key").select("__key", "rows", "class_id", F.col("root_key").alias("class_key"))
     alone = F.lit(None).cast("bigint").alias("class_id"), F.lit(None).cast("string").alias("class_key")
     of = settle(in_class.unionByName(own.where("root_key is null").select("__key", "rows", *alone)).withColumnRenamed("rows", "n"), "of")
-    out = _joined(keyed.where("__key is not null"), of, "__key").select(*names, "class_id", "class_key")
+    out = joined(keyed.where("__key is not null"), of, "__key").select(*names, "class_id", "class_key")
     out = out.unionByName(keyed.where("__key is null").select(*names, *alone))
     return out.withColumn("class_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
 

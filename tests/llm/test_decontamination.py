@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lectern.llm import decontamination as D
 
@@ -39,7 +40,7 @@ def test_equal_to_brute_force(spark):
     texts += [None, "", "x É é 5 a", "a " * 300]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (D.BLOCK_BYTES, 150):
+    for block in (D.BLOCK_BYTES, 0):
         for r in D.scanned(docs, benchmark, block).collect():
             hit = [w for s in r.spans for w in range(s.start, s.end)]
             assert (r.n_words, hit, r.items) == brute(r.text, items), (block, r.doc_id)
@@ -54,7 +55,9 @@ def test_winnowing_guarantee():
         assert set(x[D.winnowed(x)].tolist()) & set(y[D.winnowed(y)].tolist()) & set(D.grams(shared, D.GRAM).tolist())
 
 
-def test_edges(spark, clashing, empty):
+@pytest.mark.parametrize("block", [D.BLOCK_BYTES, 0])
+def test_edges(spark, clashing, empty, block, monkeypatch):
+    monkeypatch.setattr(D.scanned, "__defaults__", (block,))
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.scanned(clashing, none).where("size(spans) > 0").count() == 0
     assert D.scanned(empty, none).count() == 0
@@ -63,3 +66,17 @@ def test_edges(spark, clashing, empty):
     assert found[None] == ["9"] and found[1] == []
     item = spark.createDataFrame([(None, "hello Wörld it s 2024 licensed under the apache license version")], "item_id bigint, text string")
     assert {r.doc_id: r.items for r in D.scanned(clashing, item).collect()}[1] == ["null"]
+
+
+def test_a_large_benchmark_with_a_frequent_passage(spark):
+    """Many items and documents that share one passage, against the indexed scan."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    common = " ".join(word() for _ in range(14))
+    items = [(i, " ".join(word() for _ in range(30)) + (" " + common if i % 3 == 0 else "")) for i in range(300)] + [(1000, "just four short words")]
+    texts = [" ".join(word() for _ in range(20)) + f" {common} " + word() for _ in range(60)] * 2
+    texts += [" ".join(items[i][1].split()[3:20]) + " just four short words" for i in range(0, 300, 7)] + [" ".join(word() for _ in range(400)) for _ in range(20)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    found = [sorted((r.doc_id, r.n_words, str(r.spans), r.items) for r in D.scanned(docs, benchmark, block).collect()) for block in (0, D.BLOCK_BYTES)]
+    assert found[0] == found[1] and sum(bool(x[3]) for x in found[0]) == 163
