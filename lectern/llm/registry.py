@@ -62,11 +62,25 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+#: Context limits and probabilities that op6 answers besides every length that occurs.
+LIMITS = [2**k for k in range(7, 18)]
+PROBABILITIES = [0.5, 0.9, 0.95, 0.99, 0.999, 1.0]
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suffix sums over the histogram of all documents' encoded lengths."""
-    length = tokencount.length_of(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Suffix sums over the histogram of all documents' encoded lengths, counted as op1 encodes them.
+
+    kind "length": one row for each length that occurs, with all sums; "limit": tokens left at each of LIMITS, in
+    truncated_total; "quantile": the length at each of PROBABILITIES, which stands in share_at_most.
+    """
+    special = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))["added"]
+    length = tokencount.length_of(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special)
     hist = settle(tokencount.histogram(table(spark, sf_dir, "documents"), length("text")), "lengths")
-    return tokencount.suffix_sums(hist)
+    sums = settle(tokencount.suffix_sums(hist), "sums")
+    limits = tokencount.truncated_total(sums, LIMITS).select(F.lit("limit").alias("kind"), F.col("context").alias("length"), F.col("total").alias("truncated_total"))
+    quantiles = tokencount.quantiles(sums, PROBABILITIES).select(F.lit("quantile").alias("kind"), "length", F.col("probability").alias("share_at_most"))
+    out = sums.select(F.lit("length").alias("kind"), "*")
+    return out.unionByName(limits, allowMissingColumns=True).unionByName(quantiles, allowMissingColumns=True)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

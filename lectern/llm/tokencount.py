@@ -26,21 +26,23 @@ BLOCK = 1024
 _encodings: dict[str, Any] = {}
 
 
-def _encoding(ranks: Any, pattern: str, digest: str) -> Any:
+def _encoding(ranks: Any, pattern: str, special: dict[str, int], digest: str) -> Any:
     import tiktoken
 
-    key = digest + pattern
+    key = repr((digest, pattern, sorted(special.items())))
     if key not in _encodings:
         _encodings.clear()
-        _encodings[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+        _encodings[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens=special)
     return _encodings[key]
 
 
-def length_of(spark: SparkSession, path: str, pattern: str) -> Any:
+def length_of(spark: SparkSession, path: str, pattern: str, special: dict[str, int] | None = None) -> Any:
     """A column function: how many tokens a text has under the rank file at ``path``; null or empty: 0.
 
-    Special tokens' strings are ordinary text.
+    special: strings that are one token wherever they stand, as in the encoder that is counted for; other
+    special-looking strings are ordinary text.
     """
+    special = special or {}
     with open(path, "rb") as file:
         lines = file.read(VOCABULARY_BYTES + 1)
     if len(lines) > VOCABULARY_BYTES:
@@ -52,9 +54,16 @@ def length_of(spark: SparkSession, path: str, pattern: str) -> Any:
 
     @F.arrow_udf("bigint")
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = _encoding(ranks, pattern, digest).encode_ordinary
+        encoding = _encoding(ranks, pattern, special, digest)
         for texts in batches:
-            yield pa.array([len(encode(x.as_py() or "")) for x in texts], pa.int64())
+            out = []
+            for text in texts.to_pylist():
+                text = text or ""
+                if any(x in text for x in special):
+                    out.append(len(encoding.encode(text, allowed_special="all", disallowed_special=())))
+                else:
+                    out.append(len(encoding.encode_ordinary(text)))
+            yield pa.array(out, pa.int64())
 
     return lengths
 
@@ -72,22 +81,27 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     share_at_most (share of documents with L tokens or fewer: the length is the quantile of every
     probability above the share before it and up to this one).
 
-    Lengths are summed in blocks of 1,024, then the blocks' totals: no task sees all lengths, and
-    blocks are as many as the longest document has thousands of tokens. Empty in, empty out.
+    Lengths are summed in blocks of 1,024, blocks in groups of 1,024, and the groups, of which there are 2,048 at most as no text
+    has more than 2**31 bytes, on the driver: no task sees all lengths. Empty in, empty out.
     """
-    block = F.floor(F.col("length") / BLOCK)
+    block, group = F.floor(F.col("length") / BLOCK), F.floor(F.col("block") / BLOCK)
     rows = hist.select("length", "n_docs", block.alias("block"))
-    after = Window.partitionBy("block").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = rows.withColumn("d", F.sum("n_docs").over(after)).withColumn("t", F.sum(F.col("n_docs") * F.col("length")).over(after))
-    blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum(F.col("n_docs") * F.col("length")).alias("bt"))
-    beyond = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
+    after = lambda part, by: Window.partitionBy(part).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tokens = F.col("n_docs") * F.col("length")
+    inside = rows.withColumn("d", F.sum("n_docs").over(after("block", "length"))).withColumn("t", F.sum(tokens).over(after("block", "length")))
+    blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum(tokens).alias("bt")).withColumn("group", group)
+    groups = sorted(blocks.groupBy("group").agg(F.sum("bd").alias("d"), F.sum("bt").alias("t")).collect(), reverse=True)
+    docs, all_tokens = sum(r["d"] for r in groups), sum(r["t"] for r in groups)
+    before, beyond = (0, 0), []
+    for r in groups:
+        beyond.append((r["group"], *before))
+        before = before[0] + r["d"], before[1] + r["t"]
+    far = hist.sparkSession.createDataFrame(beyond, "group bigint, gd bigint, gt bigint")
     totals = (
-        blocks.withColumn("cd", F.sum("bd").over(beyond) - F.col("bd"))
-        .withColumn("ct", F.sum("bt").over(beyond) - F.col("bt"))
-        .withColumn("docs", F.sum("bd").over(every))
-        .withColumn("tokens", F.sum("bt").over(every))
-        .select("block", "cd", "ct", "docs", "tokens")
+        blocks.withColumn("cd", F.sum("bd").over(after("group", "block")) - F.col("bd"))
+        .withColumn("ct", F.sum("bt").over(after("group", "block")) - F.col("bt"))
+        .join(F.broadcast(far), "group")
+        .select("block", (F.col("cd") + F.col("gd")).alias("cd"), (F.col("ct") + F.col("gt")).alias("ct"), F.lit(docs).cast("bigint").alias("docs"), F.lit(all_tokens).cast("bigint").alias("tokens"))
     )
     at = inside.join(totals, "block")
     longer, longer_tokens = F.col("d") + F.col("cd"), F.col("t") + F.col("ct")
