@@ -53,13 +53,13 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
     """``left`` joined with ``right`` (key, n, ...), one row for each key, which ``n`` rows of ``left`` have at most.
 
     Keys that hold more than a HEAVY-th of the sum of n are at most HEAVY rows and broadcast; no other key is large.
     """
-    total = right.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = F.col("n") * HEAVY > F.lit(total)
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    heavy = F.col(n) * HEAVY > F.lit(total)
     hot = F.broadcast(right.where(heavy))
     return left.join(hot, key).unionByName(left.join(F.broadcast(right.where(heavy).select(key)), key, "left_anti").join(right.where(~heavy), key))
 

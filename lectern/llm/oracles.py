@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from lectern.llm.common import LOWER, UPPER, WORD
 from lectern.llm.licenses import PHRASES, RARE, TEMPLATES
-from lectern.llm.urls import APART, DEPTH, FANOUT, PRIOR, SUPPORT
 
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
@@ -75,17 +74,30 @@ FROM d LEFT JOIN based USING (r) LEFT JOIN own USING (r) LEFT JOIN every USING (
 """
 
 
+#: Segments of a path at which the SQL stops; no path of the tables has more.
+DEPTH = 5
+#: The contract's figures: children from which a node is variable, of fewer pages each than so many; standard errors; pseudo-labels.
+FANOUT, SUPPORT, APART, PRIOR = 12, 4, "CAST(2.58 AS DOUBLE)", "CAST(4 AS DOUBLE)"
+
+
+def _named(source: str, part: str, wildcard: str, needs: str) -> str:
+    """Each child's own name, or the wildcard, by windows over its siblings."""
+    one, other = "CAST(labelled AS DOUBLE)", "CAST(sum(labelled) OVER v - labelled AS DOUBLE)"
+    p = "((sum(good) OVER v + 1) / CAST(sum(labelled) OVER v + 2 AS DOUBLE))"
+    apart = f"labelled > 0 AND {other} > 0 AND {needs} AND abs(good / {one} - (sum(good) OVER v - good) / {other}) > {APART} * sqrt({p} * (1 - {p}) * (1 / {one} + 1 / {other}))"
+    variable = f"count(*) OVER v >= {FANOUT} AND sum(n) OVER v < {SUPPORT} * count(*) OVER v"
+    return f"SELECT *, CASE WHEN count(*) OVER v = 1 OR (NOT ({variable}) AND coalesce({apart}, false)) THEN child ELSE {wildcard} END AS name FROM {source} WINDOW v AS (PARTITION BY {part})"
+
+
 def _level(k: int) -> str:
-    """The prefix of every leaf after segment k: tree level k, judged on sums over its nodes."""
-    rest, rest_good = "(kl - labelled)", "(kg - good)"
-    pooled = "((kg + 1) / CAST(kl + 2 AS DOUBLE))"
-    differs = f"labelled > 0 AND {rest} > 0 AND abs(good / CAST(labelled AS DOUBLE) - {rest_good} / CAST({rest} AS DOUBLE)) > CAST({APART} AS DOUBLE) * sqrt({pooled} * (1 - {pooled}) * (1 / CAST(labelled AS DOUBLE) + 1 / CAST({rest} AS DOUBLE)))"
+    """The prefix of every leaf after segment k."""
     return f"""
-c{k} AS (SELECT host, prefix, shape[{k + 1}] AS segment, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM l{k} WHERE len(shape) > {k} GROUP BY ALL),
-s{k} AS (SELECT *, count(*) OVER v AS k, sum(n) OVER v AS kn, sum(labelled) OVER v AS kl, sum(good) OVER v AS kg FROM c{k} WINDOW v AS (PARTITION BY host, prefix)),
-m{k} AS (SELECT host, prefix, segment, CASE WHEN k > 1 AND ((k >= {FANOUT} AND kn < {SUPPORT} * k) OR NOT coalesce({differs}, false)) THEN '*' ELSE segment END AS named FROM s{k}),
-l{k + 1} AS (SELECT l.host AS host, l.shape AS shape, n, labelled, good, CASE WHEN named IS NULL THEN l.prefix ELSE l.prefix || '/' || named END AS prefix
-  FROM l{k} l LEFT JOIN m{k} m ON m.host = l.host AND m.prefix = l.prefix AND m.segment = l.shape[{k + 1}])"""
+c{k} AS (SELECT host, prefix, shape[{k + 1}] AS child, regexp_replace(shape[{k + 1}], '[0-9]+', '#', 'g') AS grp, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM l{k} WHERE len(shape) > {k} GROUP BY ALL),
+g{k} AS ({_named(f"c{k}", "host, prefix, grp", "grp", f"n >= {SUPPORT}")}),
+b{k} AS (SELECT host, prefix, name AS child, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM g{k} GROUP BY ALL),
+m{k} AS (SELECT g.host, g.prefix, g.child, b.name FROM g{k} g JOIN ({_named(f"b{k}", "host, prefix", "'*'", "true")}) b ON b.host = g.host AND b.prefix = g.prefix AND b.child = g.name),
+l{k + 1} AS (SELECT l.host AS host, l.shape AS shape, n, labelled, good, CASE WHEN m.name IS NULL THEN l.prefix ELSE l.prefix || '/' || m.name END AS prefix
+  FROM l{k} l LEFT JOIN m{k} m ON m.host = l.host AND m.prefix = l.prefix AND m.child = l.shape[{k + 1}])"""
 
 
 def urls(rules: list[tuple[str, str]]) -> str:
@@ -99,14 +111,14 @@ def urls(rules: list[tuple[str, str]]) -> str:
     return f"""
 WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
-split AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS segments FROM q),
-shaped AS (SELECT page_id, host, path, CASE WHEN len(segments) > {DEPTH} THEN segments[1:{DEPTH}] || ['**'] ELSE segments END AS shape FROM split),
+split AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS shape FROM q),
+shaped AS (SELECT page_id, host, path, shape FROM split),
 known AS (SELECT doc_id AS id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NULL AND toxic = 0 THEN NULL WHEN toxic IS NULL AND quality = 1 THEN NULL WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 l0 AS (SELECT host, shape, count(*) AS n, count(good) AS labelled, coalesce(sum(good), 0) AS good, '' AS prefix FROM shaped LEFT JOIN known ON page_id = id GROUP BY host, shape),
-{",".join(_level(k) for k in range(DEPTH + 1))},
+{",".join(_level(k) for k in range(DEPTH))},
 overall AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(good) / CAST(sum(labelled) AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS share FROM l0),
-trees AS (SELECT host, shape, labelled, good, CASE WHEN prefix = '' THEN '/' ELSE prefix END AS template FROM l{DEPTH + 1}),
-pure AS (SELECT host, template, (sum(good) + CAST({PRIOR} AS DOUBLE) * any_value(share)) / (sum(labelled) + CAST({PRIOR} AS DOUBLE)) AS purity FROM trees CROSS JOIN overall GROUP BY host, template),
+trees AS (SELECT host, shape, labelled, good, CASE WHEN prefix = '' THEN '/' ELSE prefix END AS template FROM l{DEPTH}),
+pure AS (SELECT host, template, (sum(good) + {PRIOR} * any_value(share)) / (sum(labelled) + {PRIOR}) AS purity FROM trees CROSS JOIN overall GROUP BY host, template),
 judged AS (SELECT page_id, s.host AS host, path, t.template AS template, purity, {case(1).replace("host", "s.host")} AS rule, {case(0).replace("host", "s.host")} AS said
   FROM shaped s JOIN trees t ON t.host = s.host AND t.shape = s.shape JOIN pure ON pure.host = t.host AND pure.template = t.template)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM judged
