@@ -7,7 +7,7 @@ texts that share a shingle, all places of a template.
 from __future__ import annotations
 
 from lectern.llm.common import LOWER, UPPER, WORD
-from lectern.llm.licenses import PHRASES, RARE, TEMPLATES
+from lectern.llm.licenses import PASSAGES, PHRASES
 
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
@@ -47,7 +47,8 @@ SELECT doc_id, CASE WHEN root IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITI
 """
 
 _phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
-_templates = ", ".join(f"({i}, '{label}', string_split('{text}', ' '), string_split('{phrase}', ' '), {(' ' + text + ' ').partition(' ' + phrase + ' ')[0].count(' ')})" for i, (label, text, phrase) in enumerate(TEMPLATES))
+_passages = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text, _) in enumerate(PASSAGES))
+_keys = ", ".join(f"({i}, '{phrase}', {(' ' + text + ' ').partition(' ' + phrase + ' ')[0].count(' ')})" for i, (_, text, phrases) in enumerate(PASSAGES) for phrase in phrases)
 
 LICENSES = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS} AS w FROM documents),
@@ -55,17 +56,21 @@ phrases(phrase, label, k) AS (VALUES {_phrases}),
 asked AS (SELECT r, w, phrase, label, k FROM d CROSS JOIN phrases),
 base AS (SELECT r, s, label FROM ({grams("asked", "r, phrase, label", "k")}) WHERE g = phrase),
 based AS (SELECT r, count(*) AS n_base, min(s) - 1 AS first_word, max(s) - 1 AS last_word FROM base GROUP BY r),
-t(t, label, w, key, start) AS (VALUES {_templates}),
+t(t, label, w) AS (VALUES {_passages}),
+keys(t, key, start) AS (VALUES {_keys}),
 tw AS (SELECT t, p - 1 AS pos, w[p] AS word FROM t, unnest(range(1, len(w) + 1)) AS u(p)),
 dw AS (SELECT r, p - 1 AS i, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(p) WHERE w[p] IN (SELECT word FROM tw)),
 df AS (SELECT word, count(DISTINCT r) AS n FROM dw GROUP BY word),
-rare AS (SELECT t, pos, word FROM tw LEFT JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), pos) <= {RARE}),
-sizes AS (SELECT t, count(*) AS k FROM rare GROUP BY t),
-tried AS (SELECT r, t, i - pos AS place, count(*) AS c FROM dw JOIN rare USING (word) GROUP BY r, t, i - pos),
-shares AS (SELECT r, t, place, CAST(c AS DOUBLE) / CAST(k AS DOUBLE) AS share FROM tried JOIN sizes USING (t)),
-keys AS (SELECT t, label, len(key) AS n, start + p - 1 AS pos, key[p] AS word FROM t, unnest(range(1, len(key) + 1)) AS u(p)),
-good AS (SELECT s.r AS r, s.t, place, keys.label AS label FROM shares s JOIN keys ON keys.t = s.t
-  JOIN dw ON dw.r = s.r AND dw.word = keys.word AND dw.i = place + keys.pos WHERE share >= 0.75 GROUP BY s.r, s.t, place, keys.label, keys.n HAVING count(*) = keys.n),
+weights AS (SELECT word, ln((SELECT count(*) + 1 FROM d) / CAST(coalesce(n, 0) + 1 AS DOUBLE)) + CAST(0.1 AS DOUBLE) AS weight FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word)),
+shown AS (SELECT r, ' ' || array_to_string(w, ' ') || ' ' AS norm FROM d),
+gated AS (SELECT r, t FROM shown, keys WHERE contains(norm, ' ' || key || ' ') GROUP BY r, t HAVING count(*) = (SELECT count(*) FROM keys k WHERE k.t = keys.t)),
+mine AS (SELECT r, t, word, row_number() OVER (PARTITION BY r, t ORDER BY weight DESC, pos) AS k FROM (SELECT r, t, word, weight, min(pos) AS pos FROM gated JOIN tw USING (t) JOIN weights USING (word) WHERE EXISTS (SELECT 1 FROM dw WHERE dw.r = gated.r AND dw.word = tw.word) GROUP BY r, t, word, weight)),
+rare AS (SELECT r, t, word, count(*) OVER (PARTITION BY r, t) AS n FROM mine WHERE k <= 6),
+offsets AS (SELECT rare.r AS r, rare.t AS t, i - pos AS place FROM rare JOIN tw ON tw.t = rare.t AND tw.word = rare.word JOIN dw ON dw.r = rare.r AND dw.word = rare.word GROUP BY rare.r, rare.t, i - pos HAVING count(*) >= ceil(any_value(n) * 0.75)),
+keyed AS (SELECT o.r, o.t, place FROM offsets o JOIN keys k ON k.t = o.t JOIN d ON d.r = o.r WHERE array_to_string(d.w[place + k.start + 1:place + k.start + len(string_split(key, ' '))], ' ') = key AND place + k.start >= 0 GROUP BY o.r, o.t, place HAVING count(*) = (SELECT count(*) FROM keys x WHERE x.t = o.t)),
+totals AS (SELECT t, sum(weight) AS total FROM tw JOIN weights USING (word) GROUP BY t),
+shares AS (SELECT k.r AS r, k.t AS t, place, round(sum(weight) / any_value(total), 9) AS share FROM keyed k JOIN tw ON tw.t = k.t JOIN dw ON dw.r = k.r AND dw.word = tw.word AND dw.i = place + tw.pos JOIN weights ON weights.word = tw.word JOIN totals ON totals.t = k.t GROUP BY k.r, k.t, place),
+good AS (SELECT r, label FROM shares JOIN t USING (t) WHERE share >= 0.75),
 own AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
 every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM good) GROUP BY r),
 best AS (SELECT r, max(share) AS score FROM shares GROUP BY r)
