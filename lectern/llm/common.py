@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,12 +46,27 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
     The written table ends the lineage, so that a lost executor costs no recomputation of what stands
-    before, and values that depend on the run's partitioning are fixed.
+    before, and values that depend on the run's partitioning are fixed. ``forget`` removes it.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+_paths: dict[int, str] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of settled tables, when all that was read from them is written elsewhere."""
+    for df in tables:
+        path = _paths.pop(id(df), None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def joined(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
@@ -65,12 +81,12 @@ def joined(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFra
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have Arrow batches of at most BATCH_ROWS rows, unless the session says otherwise than the default.
+    """Have Arrow batches of at most BATCH_ROWS rows, unless the session itself sets a number, be it the default.
 
     Rows are whole texts here, some very long; ten thousand of them at once would fill a worker's memory.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(key):
         spark.conf.set(key, str(BATCH_ROWS))
 
 

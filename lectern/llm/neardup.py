@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from lectern.llm.common import WORD, ascii_lower, joined, settle, slices, small_batches
+from lectern.llm.common import WORD, ascii_lower, forget, joined, settle, slices, small_batches
 from lectern.llm.decontamination import grams, word_hashes, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -171,19 +171,22 @@ def components(links: DataFrame) -> DataFrame:
     inside components go; at least half of the linked components go in each turn.
     """
     edges = settle(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
-    roots = edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct()
+    roots = settle(edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct(), "roots")
     while not edges.isEmpty():
         parents = settle(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "parents")
         while True:
             up = parents.select(F.col("a").alias("p"), F.col("p").alias("q"))
             jumped = settle(parents.join(up, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "parents")
-            parents = jumped.drop("moved")
+            forget(parents)
+            parents = jumped
             if jumped.where("moved").isEmpty():
                 break
         of = parents.select(F.col("a").alias("root"), F.col("p").alias("new"))
-        roots = settle(roots.join(of, "root", "left").select("id", F.coalesce("new", "root").alias("root")), "roots")
+        last, roots = roots, settle(roots.join(of, "root", "left").select("id", F.coalesce("new", "root").alias("root")), "roots")
         a, b = parents.select("a", F.col("p").alias("x")), parents.select(F.col("a").alias("b"), F.col("p").alias("y"))
-        edges = settle(edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        before, edges = edges, settle(edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        forget(last, before, parents)
+    forget(edges)
     return roots
 
 
@@ -338,10 +341,14 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     partners = settle(together(cells).mapInArrow(_with_partner, "band bigint, x int, y int, id bigint"), "partners")
     likely = cells.join(partners, [*at, "id"]).join(bags, "id")
     late = together(likely).mapInArrow(_linked, "a bigint, b bigint")
-    roots = components(settle(links.unionByName(late), "links"))
+    every = settle(links.unionByName(late), "links")
+    forget(centres, best, bags, links, roots, cells, partners)
+    roots = components(every)
     names = nodes.select("id", "key")
     of = names.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("root"))
-    return of.join(names.select(F.col("id").alias("root"), F.col("key").alias("root_key")), "root").select("key", "root_key")
+    out = settle(of.join(names.select(F.col("id").alias("root"), F.col("key").alias("root_key")), "root").select("key", "root_key"), "classes")
+    forget(nodes, every, roots)
+    return out
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -350,7 +357,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     Classes are connected components of pairs with similarity 0.8 or more. A text without words (null,
     empty) is in no class: class_key is null and class_id its own doc_id. A class without any doc_id has a null class_id.
     """
-    found = settle(classes(docs), "classes")
+    found = classes(docs)
     names = docs.drop("class_id", "class_key").columns
     keyed = docs.select(*names, F.md5(F.col("text").cast("binary")).alias("__key"))
     own = keyed.where("__key is not null").groupBy("__key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
@@ -369,7 +376,7 @@ def unique(docs: DataFrame) -> DataFrame:
 
     Texts without words are in no class and all stay. Full rows go through one exchange, on text key and doc_id.
     """
-    found = settle(classes(docs), "classes")
+    found = classes(docs)
     has_words = F.coalesce(ascii_lower(F.col("text")).rlike(WORD), F.lit(False))
     keyed = docs.withColumn("__key", F.md5(F.col("text").cast("binary")))
     least = keyed.groupBy("__key").agg(F.min(F.struct("doc_id")).alias("x"))

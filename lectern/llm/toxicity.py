@@ -27,6 +27,8 @@ from lectern.llm.common import plain_lower, small_batches
 
 #: Labelled documents of each class that the model is fitted to, at most: those with the smallest hash.
 SAMPLE = 2500
+#: Bytes of their texts, of each class, at most: the bound of what comes to the driver. A text that would exceed it isn't learned from.
+SAMPLE_BYTES = 24 << 20
 #: Characters of word beginnings that may be cues, and cues, at most.
 PREFIXES, CUES = range(4, 9), 400
 #: A cue stands in this many toxic documents at least, and is so many times likelier in them.
@@ -125,7 +127,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the labelled documents that aren't held out, ``sample`` of each class at most.
+    """A model of the labelled documents that aren't held out, ``sample`` and SAMPLE_BYTES of each class at most.
 
     Labels without doc_id or toxic are left out; of several for one doc_id the largest counts, and of
     several texts the smallest.
@@ -134,7 +136,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sizes = {r["toxic"]: r["count"] for r in known.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
     parts = [known.where((F.col("toxic") == 1) == F.lit(y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (True, False)]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    named = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Ids and lengths first: they tell which texts the bound has room for.
+    lengths = named.groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("size"), F.first(F.xxhash64("doc_id")).alias("order")).collect()
+    room, kept = {True: SAMPLE_BYTES, False: SAMPLE_BYTES}, []
+    for r in sorted(lengths, key=lambda r: (r["order"], r["doc_id"])):
+        size = r["size"] or 0
+        if size <= room[r["toxic"] == 1]:
+            room[r["toxic"] == 1] -= size
+            kept.append((r["doc_id"],))
+    known_ids = docs.sparkSession.createDataFrame(kept, docs.select("doc_id").schema)
+    rows = named.join(F.broadcast(known_ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     toxic = [r["toxic"] == 1 for r in rows]
     share = lambda y: sizes.get(y, 0) / max(toxic.count(y), 1)

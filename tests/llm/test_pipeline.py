@@ -60,3 +60,29 @@ def test_nothing_else_imports_the_package():
     for file in top.glob("lectern/**/*.py"):
         if "llm" not in file.parts:
             assert not re.search(r"lectern\.llm|from \.+llm", file.read_text()), file
+
+
+def test_run_on_awkward_tables(spark, sf_dir, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    for name in ("labels", "benchmark"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    good = "Ordinary words stand here in a row, one after the other, and none of them is said twice before the end of it. " + "".join(f"Sentence number {chr(97 + k)} differs. " for k in range(9))
+    more = spark.createDataFrame([(50, good, "en", "a", 1), (50, good, "en", "a", 1), (None, good + "x", "en", "a", 1), (51, good * 2000, "en", "a", 1)], docs.schema)
+    rows = docs.union(more).select("*", *(F.lit("x").alias(c) for c in ("n_words", "kept", "rule", "toxicity", "spans", "items", "ids", "class_id", "key")))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in found} <= {None, *(r.doc_id for r in rows.collect())} and all(r.exact for r in found)
+    assert len(found) == len({r.doc_id for r in found})
+    (tmp_path / "empty").mkdir()
+    for name in ("labels", "benchmark", "documents"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_long_chains_are_one_component(spark):
+    n = 300
+    order = [(k * 7919) % n for k in range(n)]
+    links = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(1000, 1001), (1002, 1002)], "a bigint, b bigint")
+    found = {r.id: r.root for r in neardup.components(links).collect()}
+    assert {found[k] for k in range(n)} == {0} and found[1001] == 1000 and 1002 not in found
