@@ -36,6 +36,8 @@ REGISTERS = BANDS * ROWS
 LIKELY = 0.66
 #: Texts, and bytes of their bags, of a band in one block of the pairwise comparison.
 BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Links of 16 bytes that are united in one task.
+FEW_LINKS = 200_000
 
 _U = np.uint64
 _GOLDEN, _SILVER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -164,12 +166,34 @@ def similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
         yield pa.array([float(shared(bag(x), [bag(y)])[0]) for x, y in zip(a, b, strict=True)], pa.float64())
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) for all links (a, b) of one task: the smallest id of each component."""
+    links = [np.stack([b["a"].to_numpy(), b["b"].to_numpy()]) for b in batches]
+    ids, of = np.unique(np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64), return_inverse=True)
+    up = list(range(len(ids)))
+
+    def found(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    for a, b in of.reshape(2, -1).T.tolist():
+        a, b = found(a), found(b)
+        up[max(a, b)] = min(a, b)  # ids are in order, so the smallest is the root
+    roots = ids[[found(k) for k in range(len(ids))]] if len(ids) else ids
+    yield pa.record_batch({"id": pa.array(ids, pa.int64()), "root": pa.array(roots, pa.int64())})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b): the smallest id that it is connected with.
 
-    Each component hooks on to its smallest neighbour, paths are halved until they reach a root, and links
-    inside components go; at least half of the linked components go in each turn.
+    Up to FEW_LINKS links are united in one task, which holds no more than these. Of more, each component hooks on to
+    its smallest neighbour, paths are halved until they reach a root, and links inside components go; at least half of
+    the linked components go in each turn.
     """
+    links = links.select("a", "b").where("a <> b")
+    if links.count() <= FEW_LINKS:
+        return settle(links.repartition(1).mapInArrow(_united, "id bigint, root bigint"), "roots")
     edges = settle(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
     roots = settle(edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct(), "roots")
     while not edges.isEmpty():

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lectern.llm import neardup as N
 
@@ -61,6 +62,7 @@ def test_classes_equal_brute_force(spark):
 
 def test_blocks_of_a_band_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "FEW_LINKS", 0)
     texts = corpus(random.Random(9))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     classes = {}
@@ -93,3 +95,13 @@ def test_edges(clashing, empty):
     kept = N.unique(clashing)
     assert kept.columns == clashing.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, None, 4, 5, 6, 7]))
+
+
+@pytest.mark.parametrize("few", [0, N.FEW_LINKS])
+def test_long_chains_are_one_component(spark, monkeypatch, few):
+    monkeypatch.setattr(N, "FEW_LINKS", few)
+    n = 300
+    order = [(k * 7919) % n for k in range(n)]
+    links = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(1000, 1001), (1002, 1002)], "a bigint, b bigint")
+    found = {r.id: r.root for r in N.components(links).collect()}
+    assert {found[k] for k in range(n)} == {0} and found[1001] == 1000 and 1002 not in found

@@ -78,11 +78,3 @@ def test_run_on_awkward_tables(spark, sf_dir, docs, tmp_path):
     for name in ("labels", "benchmark", "documents"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
-
-
-def test_long_chains_are_one_component(spark):
-    n = 300
-    order = [(k * 7919) % n for k in range(n)]
-    links = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(1000, 1001), (1002, 1002)], "a bigint, b bigint")
-    found = {r.id: r.root for r in neardup.components(links).collect()}
-    assert {found[k] for k in range(n)} == {0} and found[1001] == 1000 and 1002 not in found
