@@ -102,5 +102,8 @@ def word_count(text: Column) -> Column:
 
 def digit_ratio(text: Column) -> Column:
     """Share of digits, of any script and also raised, lowered or circled; of an empty text 0."""
-    digits = F.length(replace(text, rf"[^\p{{Nd}}{OTHER_DIGITS}]", ""))
+    # Below U+0660, and among the marks around U+2000, there are no digits but ASCII ones and three raised ones.
+    other = text.rlike(r"[²³¹\x{660}-\x{1fff}\x{2070}-\x{10ffff}]")
+    kept = F.when(other, replace(text, rf"[^\p{{Nd}}{OTHER_DIGITS}]", "")).otherwise(replace(text, "[^0-9]", ""))
+    digits = F.length(kept)
     return F.when(F.length(text) > 0, digits / F.length(text)).otherwise(F.lit(0.0))
