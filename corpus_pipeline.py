@@ -39,9 +39,9 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number and digest, and whether they decode to the text."""
-    encode, decode = bpe.codec(spark, public_tokenizers.path("byte_bpe_50k.json"))
-    tokens = docs.select("doc_id", "text", encode("text").alias("ids"))
-    exact = decode("ids") == F.coalesce("text", F.lit(""))
+    both = bpe.round_trip(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = docs.select("doc_id", "text", both("text").alias("x")).select("doc_id", "text", "x.ids", "x.decoded")
+    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
     return tokens.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), exact.alias("exact"), "ids")
 

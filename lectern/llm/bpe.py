@@ -242,6 +242,25 @@ def _encoder(vocabulary: dict[str, Any]) -> Encoder:
     return _encoders[key]
 
 
+def _id_arrays(found: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
+
+
+class Decoder:
+    """Texts of ids."""
+
+    def __init__(self, vocabulary: dict[str, Any]):
+        token = {i: t for t, i in vocabulary["ids"].items()} | {i: t.encode() for t, i in vocabulary["added"].items()}
+        self.pieces = [token.get(i, b"") for i in range(max(token) + 1)]
+
+    def text(self, ids: list[int]) -> str:
+        try:
+            return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
+        except IndexError:
+            return b"".join(self.pieces[i] for i in ids if i < len(self.pieces)).decode("utf-8", "replace")
+
+
 def codec(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
     """``(encode, decode)`` column functions for the byte-level BPE file at ``path`` (read on the driver).
 
@@ -257,24 +276,28 @@ def codec(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], C
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _encoder(vocabulary.value)
         for texts in batches:
-            found = own.encode([x or "" for x in texts.to_pylist()])
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
+            yield _id_arrays(own.encode([x or "" for x in texts.to_pylist()]))
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = vocabulary.value
-        token = {i: t for t, i in own["ids"].items()} | {i: t.encode() for t, i in own["added"].items()}
-        top = max(token) + 1
-        pieces = [token.get(i, b"") for i in range(top)]
+        own = Decoder(vocabulary.value)
         for ids in batches:
-            out = []
-            for x in ids:
-                own_ids = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
-                try:
-                    out.append(b"".join(map(pieces.__getitem__, own_ids)).decode("utf-8", "replace"))
-                except IndexError:
-                    out.append(b"".join(pieces[i] for i in own_ids if i < top).decode("utf-8", "replace"))
-            yield pa.array(out, pa.string())
+            yield pa.array([own.text(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in ids], pa.string())
 
     return encode, decode
+
+
+def round_trip(spark: SparkSession, path: str) -> Callable[[Column], Column]:
+    """A column function: struct(ids, decoded), what ``encode`` gives for a text and ``decode`` for these ids, in one worker."""
+    small_batches(spark)
+    vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = _encoder(vocabulary.value), Decoder(vocabulary.value)
+        for texts in batches:
+            found = encoder.encode([x or "" for x in texts.to_pylist()])
+            decoded = pa.array([decoder.text(np.frombuffer(x, "<i4").tolist()) for x in found], pa.string())
+            yield pa.StructArray.from_arrays([_id_arrays(found), decoded], ["ids", "decoded"])
+
+    return both

@@ -16,9 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; digests of the ids and of the decoded text."""
-    encode, decode = bpe.codec(spark, public_tokenizers.path("byte_bpe_50k.json"))
-    encoded = table(spark, sf_dir, "documents").select("doc_id", encode("text").alias("ids"))
-    decoded = encoded.select("doc_id", "ids", decode("ids").alias("decoded"))
+    both = bpe.round_trip(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    decoded = table(spark, sf_dir, "documents").select("doc_id", both("text").alias("x")).select("doc_id", "x.ids", "x.decoded")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
