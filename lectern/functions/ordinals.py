@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ENDINGS = {"m": ("y", "i"), "f": ("a", "a"), "n": ("e", "ie")}
-#: Stems; those that take the soft ending ("drugi", "trzeci") are marked by a star.
-_UNITS = "pierwsz drug* trzec* czwart piąt szóst siódm ósm dziewiąt dziesiąt jedenast dwunast trzynast czternast piętnast szesnast siedemnast osiemnast dziewiętnast".split()
-_TENS = "dwudziest trzydziest czterdziest pięćdziesiąt sześćdziesiąt siedemdziesiąt osiemdziesiąt dziewięćdziesiąt".split()
-_HUNDREDS = "setn dwusetn trzechsetn czterechsetn pięćsetn sześćsetn siedemsetn osiemsetn dziewięćsetn".split()
+#: The masculine ordinals of 1 to 19, of the tens from 20, of the hundreds; the cardinals of the hundreds.
+_UNITS = "pierwszy drugi trzeci czwarty piąty szósty siódmy ósmy dziewiąty dziesiąty jedenasty dwunasty trzynasty czternasty piętnasty szesnasty siedemnasty osiemnasty dziewiętnasty".split()
+_TENS = "dwudziesty trzydziesty czterdziesty pięćdziesiąty sześćdziesiąty siedemdziesiąty osiemdziesiąty dziewięćdziesiąty".split()
+_HUNDREDS = "setny dwusetny trzechsetny czterechsetny pięćsetny sześćsetny siedemsetny osiemsetny dziewięćsetny".split()
 _CARDINAL = "sto dwieście trzysta czterysta pięćset sześćset siedemset osiemset dziewięćset".split()
+#: What the last letter becomes in the other genders.
+_ENDINGS = {"m": {"y": "y", "i": "i"}, "f": {"y": "a", "i": "ia"}, "n": {"y": "e", "i": "ie"}}
+_IRREGULAR = {("drugi", "f"): "druga"}
 
 
-def _ended(stem: str, gender: str) -> str:
-    hard, soft = _ENDINGS[gender]
-    if not stem.endswith("*"):
-        return stem + hard
-    stem = stem[:-1]
-    # "trzecia", "trzecie" keep the i that "druga" has lost; "drugie" has it.
-    if gender == "f" and stem == "trzec":
-        return "trzecia"
-    return stem + soft
+def _ended(word: str, gender: str) -> str:
+    return _IRREGULAR.get((word, gender)) or word[:-1] + _ENDINGS[gender][word[-1]]
 
 
 def ordinal_word(n: int, gender: str = "m") -> str | None:
@@ -45,14 +40,3 @@ def ordinal(n: Column, gender: str = "m") -> Column:
     """``ordinal_word`` of an int column, as a lookup in one constant array."""
     words = F.array(*(F.lit(ordinal_word(k, gender)) for k in range(1, 1000)))
     return F.get(words, (n - 1).cast("int"))
-
-
-def sql_ordinal(n: str, gender: str) -> str:
-    """The same by arithmetic, as DuckDB SQL."""
-    listed = lambda words: "[" + ",".join(f"'{_ended(w, gender)}'" for w in words) + "]"
-    cardinal = "[" + ",".join(f"'{w}'" for w in _CARDINAL) + "]"
-    units, tens, hundreds = listed(_UNITS), listed(_TENS), listed(_HUNDREDS)
-    n = f"({n})"
-    rest = f"({n} % 100)"
-    below = f"CASE WHEN {rest} < 20 THEN {units}[{rest}] WHEN {rest} % 10 = 0 THEN {tens}[{rest} // 10 - 1] ELSE {tens}[{rest} // 10 - 1] || ' ' || {units}[{rest} % 10] END"
-    return f"(CASE WHEN {n} < 1 OR {n} > 999 THEN NULL WHEN {rest} = 0 THEN {hundreds}[{n} // 100] WHEN {n} >= 100 THEN {cardinal}[{n} // 100] || ' ' || {below} ELSE {below} END)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from lectern.functions.text import replace, strip
 from lectern.operators.chapters import separate_heading
 
 SIZE, WORDS, LEAST = 300, 150, 10
+#: Sentences that a fold appends to one array before it begins the next; bears on speed only.
+BLOCK = 256
 TITLE_MS, HEADING_MS, QUOTE_MS, QUOTE_END_MS = 2500, 2000, 1000, 1500
 OPENS = "A-ZŻŹĆĄŚĘŁÓŃ–—(„\\["
 
@@ -23,24 +27,64 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(joined, "\x01"), strip), lambda x: x != "")
 
 
+def _numbered(text: Column) -> Column:
+    """Whether the text is a number with a full stop."""
+    return text.rlike(rf"^[0-9]+\.{WS}*$")
+
+
+def _shortened(text: Column) -> Column:
+    """Whether the text ends with an abbreviation or an initial (also a digit) and a full stop."""
+
+    def told(word: Column) -> Column:
+        return F.array_contains(F.array(*map(F.lit, ABBREVIATIONS)), F.lower(word)) | ((F.length(word) == 1) & (F.upper(word) == word))
+
+    return F.exists(F.array(F.regexp_extract(text, rf"([\p{{L}}\p{{N}}_]+)\.{WS}*$", 1)), told)
+
+
 def abbrev_ending(text: Column) -> Column:
     """Whether the text ends with an abbreviation, an initial (also a digit), or is a number with a full stop."""
-    text = replace(text, rf"{WS}+$", "")
-    word = F.regexp_extract(text, r"([\p{L}\p{N}_]+)\.$", 1)
-    initial = (F.length(word) == 1) & (F.upper(word) == word)
-    return text.rlike(r"^[0-9]+\.$") | F.array_contains(F.array(*map(F.lit, ABBREVIATIONS)), F.lower(word)) | initial
+    return _numbered(text) | _shortened(text)
+
+
+def _folded(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """struct(out, state): ``step`` over all items, as ``aggregate`` does, with what each run of BLOCK items has put in ``out``.
+
+    ``start`` and what ``step`` returns are structs with a field ``out``, an array of strings, and others. As an append copies its array,
+    ``out`` begins anew with each run; else a text's cost would grow with the square of its length.
+    """
+
+    def over(all_: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_) / BLOCK).cast("int") - 1, F.lit(0)))
+        nothing = F.array().cast("array<string>")
+        begin = F.struct(F.array().cast("array<array<string>>").alias("done"), start.withField("out", nothing).alias("state"))
+
+        def run(a: Column, k: Column) -> Column:
+            state = F.aggregate(F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)), a["state"].withField("out", nothing), step)
+            return F.struct(F.array_append(a["done"], a["state"]["out"]).alias("done"), state.alias("state"))
+
+        end = lambda a: F.struct(F.concat(F.flatten(a["done"]), a["state"]["out"]).alias("out"), a["state"].alias("state"))
+        return F.aggregate(runs, begin, run, end)
+
+    return F.transform(F.array(items), over)[0]
 
 
 def merge_abbrev(parts: Column) -> Column:
-    """Sentences that end in an abbreviation take the next one in."""
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"))
+    """Sentences that end in an abbreviation take the next one in.
+
+    What stands before a sentence's last word doesn't bear on that word, so each sentence is looked at once; only whether it is a
+    number and nothing else depends on what it has been joined to.
+    """
+    told = F.transform(parts, lambda s: F.struct(s.alias("s"), _shortened(s).alias("open"), _numbered(s).alias("number")))
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(False).alias("open"))
 
-    def step(a: Column, s: Column) -> Column:
-        first, joins = a["cur"].isNull(), abbrev_ending(a["cur"])
-        out = F.when(first | joins, a["out"]).otherwise(F.array_append(a["out"], a["cur"]))
-        return F.struct(out.alias("out"), F.when(first, s).when(joins, F.concat(a["cur"], F.lit(" "), s)).otherwise(s).alias("cur"))
+    def step(a: Column, x: Column) -> Column:
+        first = a["cur"].isNull()
+        out = F.when(first | a["open"], a["out"]).otherwise(F.array_append(a["out"], a["cur"]))
+        cur = F.when(~first & a["open"], F.concat(a["cur"], F.lit(" "), x["s"])).otherwise(x["s"])
+        return F.struct(out.alias("out"), cur.alias("cur"), (x["open"] | (x["number"] & (first | ~a["open"]))).alias("open"))
 
-    return F.aggregate(parts, state, step, lambda a: F.when(a["cur"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["cur"])))
+    last = lambda r: F.when(r["state"]["cur"].isNull(), r["out"]).otherwise(F.array_append(r["out"], r["state"]["cur"]))
+    return F.transform(F.array(_folded(told, state, step)), last)[0]
 
 
 def has_pause(text: Column) -> Column:
@@ -49,18 +93,19 @@ def has_pause(text: Column) -> Column:
 
 def pack_chunks(parts: Column, size: int = SIZE, most_words: int = WORDS) -> Column:
     """Sentences packed in order while they fit; one with a pause mark stands alone; chunks under 10 characters go."""
+    told = F.transform(parts, lambda s: F.struct(s.alias("s"), F.length(s).alias("size"), T.word_count(s).alias("n"), has_pause(s).alias("mark")))
     state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
-    def step(a: Column, s: Column) -> Column:
-        n, empty, mark = T.word_count(s), a["cur"] == "", has_pause(s)
-        full = (F.length(a["cur"]) + F.length(s) + 1 > size) | (a["n"] + n > most_words)
+    def step(a: Column, x: Column) -> Column:
+        empty = a["cur"] == ""
+        full = (F.length(a["cur"]) + x["size"] + 1 > size) | (a["n"] + x["n"] > most_words)
         flushed = F.when(empty, a["out"]).otherwise(F.array_append(a["out"], a["cur"]))
-        out = F.when(mark, F.array_append(flushed, s)).when(~empty & full, flushed).otherwise(a["out"])
-        cur = F.when(mark, F.lit("")).when(empty | full, s).otherwise(F.concat(a["cur"], F.lit(" "), s))
-        return F.struct(out.alias("out"), cur.alias("cur"), F.when(mark, F.lit(0)).when(empty | full, n).otherwise(a["n"] + n).alias("n"))
+        out = F.when(x["mark"], F.array_append(flushed, x["s"])).when(~empty & full, flushed).otherwise(a["out"])
+        cur = F.when(x["mark"], F.lit("")).when(empty | full, x["s"]).otherwise(F.concat(a["cur"], F.lit(" "), x["s"]))
+        return F.struct(out.alias("out"), cur.alias("cur"), F.when(x["mark"], F.lit(0)).when(empty | full, x["n"]).otherwise(a["n"] + x["n"]).alias("n"))
 
-    done = F.aggregate(parts, state, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.array_append(a["out"], a["cur"])))
-    return F.filter(done, lambda c: F.length(c) >= LEAST)
+    last = lambda r: F.filter(F.concat(r["out"], F.array(r["state"]["cur"])), lambda c: F.length(c) >= LEAST)
+    return F.transform(F.array(_folded(told, state, step)), last)[0]
 
 
 def _packed(chapters: DataFrame, size: int, content: str) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.ordinals import sql_ordinal
 from lectern.functions.patterns import ABBREVIATIONS, CHAPTER_WORDS, FRONT_MATTER, HEADING_PAUSE, QUOTE_PAUSE, WS
 from lectern.operators import audio as A
 from lectern.operators import chapters as C
 from lectern.operators import chunking as K
 from lectern.plans.inputs import DOCS, docs, sql_clean, sql_replace, sql_strip, sql_words
+from lectern.plans.ordinal_sql import sql_ordinal
 from lectern.plans.registry import query
 from lectern.plans.text_queries import sql_digits, sql_quotes
 from lectern.session import table

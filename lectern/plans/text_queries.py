@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lectern.functions import names as N
 from lectern.functions import numbers as M
 from lectern.functions import text as T
-from lectern.functions.ordinals import ordinal, sql_ordinal
+from lectern.functions.ordinals import ordinal
 from lectern.functions.patterns import FEMININE, HEADING_PAUSE, MASCULINE, QUOTE_PAUSE, WS
 from lectern.operators import chapters as C
 from lectern.plans.inputs import DOCS, MARKUP, docs, sql_clean, sql_replace, sql_strip, sql_words
+from lectern.plans.ordinal_sql import sql_ordinal
 from lectern.plans.registry import query
 from lectern.session import table
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import names as N
 from lectern.functions import text as T
 from lectern.functions.ordinals import ordinal_word
+from lectern.functions.patterns import ABBREVIATIONS
 from lectern.operators import chapters as C
 from lectern.operators import chunking as K
 
@@ -104,3 +108,42 @@ def test_exact_removal_of_nested_elements(spark):
     pages = ["a<div class='photo-credit'>x<b>y</b><div>z</div></div>b", "<figure><p>x</p><figure>y</figure>z</figure>&amp;c<br/>d", "<p id='podpis1'>no<p>end", None, ""]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
     assert [r.v for r in df.select("i", html_strip_exact(df.html).alias("v")).orderBy("i").collect()] == ["a b", "&c d", "", None, ""]
+
+
+def test_folds_over_many_runs_are_those_of_a_loop(spark):
+    """Sentences of more than one run of the folds, runs of numbers, abbreviations at the ends of runs, none at all, null."""
+    rng = random.Random(7)
+    some = ["12.", "345.", "5.", "Zob. prof.", "im.", "A.", "Ala ma kota.", "Słowo " * 70 + "koniec.", "Koniec [PAUZA]", "[PAUZA_CYTAT] x", "w " * 160, "Tak.", "."]
+    given = [[rng.choice(some) for _ in range(n)] for n in (0, 1, 2, K.BLOCK - 1, K.BLOCK, K.BLOCK + 1, 3 * K.BLOCK + 5)] + [None, ["12."] * 5, ["im."] * (2 * K.BLOCK)]
+
+    def ends(s):
+        word = re.search(r"(\w+)\.$", s)
+        return bool(re.search(r"^[0-9]+\.$", s)) or word is not None and (word[1].lower() in ABBREVIATIONS or len(word[1]) == 1 and word[1].upper() == word[1])
+
+    def merged(parts):
+        out = []
+        for s in parts:
+            if out and ends(out[-1].rstrip()):
+                out[-1] += " " + s
+            else:
+                out.append(s)
+        return out
+
+    def packed(parts):
+        out, cur = [], []
+        for s in parts:
+            mark, text = "[PAUZA]" in s or "[PAUZA_CYTAT]" in s, " ".join(cur)
+            if cur and (mark or len(text) + len(s) + 1 > 300 or len(text.split()) + len(s.split()) > 150):
+                out.append(text)
+                cur = []
+            if mark:
+                out.append(s)
+            else:
+                cur.append(s)
+        return [c for c in [*out, " ".join(cur)] if len(c) >= 10]
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, parts array<string>")
+    for row in rows.select("i", K.merge_abbrev(F.col("parts")).alias("merged"), K.pack_chunks(F.col("parts")).alias("packed")).collect():
+        parts = given[row["i"]]
+        assert row["merged"] == (None if parts is None else merged(parts)), row["i"]
+        assert row["packed"] == (None if parts is None else packed(parts)), row["i"]
