@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words: every ASCII character that is no digit and no small letter (after lower-casing A-Z).
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of one Arrow batch.
-BATCH_ROWS = 500
+#: Rows, and bytes, of one Arrow batch; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: A key that holds more than one row in so many is joined by broadcast, of at most so many rows; the others by a shuffle.
 HEAVY = 1000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,13 +81,15 @@ def joined(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFra
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have Arrow batches of at most BATCH_ROWS rows, unless the session itself sets a number, be it the default.
+    """Have Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, unless the session itself sets these, be it to the defaults.
 
-    Rows are whole texts here, some very long; ten thousand of them at once would fill a worker's memory.
+    Rows are whole texts here, some very long; ten thousand of them, or 64 MB, at once would fill a worker's memory and an
+    executor's beside its heap.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not spark._jsparkSession.sessionState().conf().contains(key):
-        spark.conf.set(key, str(BATCH_ROWS))
+    own = spark._jsparkSession.sessionState().conf()
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not own.contains(f"spark.sql.execution.arrow.{key}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def ascii_lower(text: Column) -> Column:

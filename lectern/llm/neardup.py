@@ -310,7 +310,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of similar texts that join two classes of a cell: fewer than the cell has classes."""
     for rows, cell in _whole_cells(batches):
         a, b, agree = _likely(rows, cell)
-        bags = [np.frombuffer(x, np.uint64) for x in rows["bag"].to_pylist()]
+        bags = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["bag"]]  # where they lie in the batches
         ids = rows["id"].to_numpy()
         of = np.unique(np.stack([cell, rows["root"].to_numpy()]), axis=1, return_inverse=True)[1].reshape(-1)
         up = list(range(len(cell)))
