@@ -302,7 +302,7 @@ def _joined_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bitmaps, _ = _bitmap(items.select(F.inline(F.arrow_udf(_MARKS)(_item_marks)("text"))))
     bits = spark.sparkContext.broadcast(bitmaps)
-    texts = docs.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("__key"), _windows_of(bits, F.col("text"))["windows"].alias("windows")).where(F.size("windows") > 0)
+    texts = docs.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("__key"), _windows_of(bits, F.col("text"))["windows"].alias("windows"))  # no filter here, which would scan every text twice
     own = settle(texts.groupBy("__key").agg(F.first("windows").alias("windows")).select("__key", F.inline("windows")), "windows")
     theirs = settle(items.select("item", F.inline(F.arrow_udf(_WINDOWS)(_item_windows)("text"))).select("item", "a", "b").distinct(), "items")
     counts = own.groupBy("a", "b").agg(F.count("*").alias("n"))

@@ -341,7 +341,8 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keyed = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("key"), F.col(text).alias("text"))
-    signs = keyed.select("key", signed("text").alias("s")).where("s is not null").groupBy("key").agg(F.first("s").alias("s"))
+    # Nulls go after the aggregate: a filter before it would be moved below, where it signs every text a second time.
+    signs = keyed.select("key", signed("text").alias("s")).groupBy("key").agg(F.first("s").alias("s")).where("s is not null")
     nodes = settle(signs.select("key", F.monotonically_increasing_id().alias("id"), "s.signature", "s.size"), "nodes")
     centres = settle(banded(nodes, "id").groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "centres")
     met = joined(banded(nodes, "id"), centres, "band").groupBy("id", "b").agg(F.count("*").alias("bands"), F.max("n").alias("n"))
