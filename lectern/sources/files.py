@@ -118,7 +118,7 @@ def wav_files(audio: DataFrame, name: Column) -> DataFrame:
 def write_wav(audio: DataFrame, folder: str, name: Column) -> int:
     """Write one WAV file into a folder for each row (frame_rate, samples); how many. One chapter at a time is on the driver."""
     spark, n = audio.sparkSession, 0
-    for row in wav_files(audio, name).where("content IS NOT NULL").toLocalIterator():
+    for row in wav_files(audio.where("samples IS NOT NULL"), name).toLocalIterator():
         replace_in_place(spark, f"{folder.rstrip('/')}/{row['name']}", bytes(row["content"]))
         n += 1
     return n
