@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import text as T
 from lectern.operators import playback as P
 from lectern.operators.chunking import chunks
 from lectern.plans.chapter_queries import CHUNKS, CUT, MERGED, PACKED
@@ -69,5 +68,4 @@ def chapter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH chapters AS (SELECT doc_id AS book_id, 0 AS pos, 0 AS chapter_idx, text AS content FROM documents), {CUT}, {MERGED}, {PACKED}, {CHUNKS} SELECT book_id AS doc_id, chunk_idx, chunk FROM chunks")
 def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as a stream up to what is there, each once, and cut into chunks."""
-    content = T.annotate_quotes(T.clean_text(F.col("text"))).alias("content")
-    return drained(spark, f"{sf_dir}/documents.parquet", lambda df: chunks(df.select("doc_id", content)))
+    return drained(spark, f"{sf_dir}/documents.parquet", lambda df: chunks(df.select("doc_id", "text"), content="text", raw=True))
