@@ -50,3 +50,10 @@ def test_sixteen_million_characters(spark, made):
     start = time.time()
     assert made(given).agg(F.sum(F.length("chunk"))).first()[0] > 15_000_000
     assert time.time() - start < 20
+
+
+def test_only_chapters_that_are_left_are_cut(spark, sf_dir):
+    from lectern.plans.registry import QUERIES
+
+    plan = QUERIES["resume_filter"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Join Inner")
