@@ -52,6 +52,13 @@ def test_sixteen_million_characters(spark, made):
     assert time.time() - start < 20
 
 
+@pytest.mark.parametrize("name", ["pack_chunks", "chunk_pauses", "synthesize", "synth_params", "resume_filter", "segment_batches", "segment_plan"])
+def test_texts_are_cut_once(spark, sf_dir, name):
+    from lectern.plans.registry import QUERIES
+
+    assert QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_only_chapters_that_are_left_are_cut(spark, sf_dir):
     from lectern.plans.registry import QUERIES
 
